@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
-SQL = {"op2_decontaminate": decontaminate.SQL}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup}
+SQL = {"op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
