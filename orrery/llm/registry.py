@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, repeats
+from . import decontaminate, repeats, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}

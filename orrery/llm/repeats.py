@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import pack, steps, unpack
 from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes, whole_runs
 
 #: Words of a window; bytes of text in a block; suffixes a group should have at most; groups at least.
@@ -45,32 +45,6 @@ MIN_WORDS, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS = 13, 6 << 20, 1_500_000, 6
 _CLASSES = 1 << 16  # of prefixes of one length, in the census
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of ascending or small values; bytes of equal weight lie together, which zstd likes."""
-    out = []
-    for x in arrays:
-        raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
-        out.append(np.array([len(x), x.dtype.itemsize], np.int64).tobytes() + raw)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31), 0, []
-    for kind in kinds:
-        n, width = np.frombuffer(raw, np.int64, 2, at).tolist()
-        at += 16
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(-1))
-        at += n * width
-    return out
-
-
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Differences; np.cumsum undoes it."""
-    out = x.copy()
-    out[1:] -= x[:-1]
-    return out
-
-
 class Block:
     """Documents of a block in ascending id order (nulls are left out of all comparisons)."""
 
@@ -169,14 +143,14 @@ def _decided(rows: DataFrame, split: Prefixes, min_words: int, block_bytes: int)
             first, back = _first_of(runs)
             mine = block.ids[document]
             here = at[mine > mine[back]]
-            out = [(-1, block.name, _pack(_steps(here.astype(np.uint32))), b"")]
+            out = [(-1, block.name, pack(steps(here.astype(np.uint32))), b"")]
             group = split.group(h, at[first])
             sort = np.argsort(group, kind="stable")
             bounds = np.searchsorted(group[sort], np.arange(split.groups + 1))
-            about = _pack(_steps(block.ids), _steps(block.words.first.astype(np.uint32)))
+            about = pack(steps(block.ids), steps(block.words.first.astype(np.uint32)))
             for g in np.flatnonzero(np.diff(bounds)).tolist():
                 part = first[sort[bounds[g] : bounds[g + 1]]]
-                out.append((g, block.name, _pack(_steps(runs[part]), at[part].astype(np.uint32)), about))
+                out.append((g, block.name, pack(steps(runs[part]), at[part].astype(np.uint32)), about))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["grp", "block", "places", "about"])
 
     def subtree(table: pa.Table) -> pa.Table:
@@ -185,10 +159,10 @@ def _decided(rows: DataFrame, split: Prefixes, min_words: int, block_bytes: int)
             return pa.table({"block": names, "places": pa.array(blobs, pa.binary())})
         parts = []
         for i, blob in enumerate(blobs):
-            steps, at = _unpack(blob, np.uint64, np.uint32)
-            ids, first = _unpack(about[i], np.int64, np.uint32)
+            leaves, at = unpack(blob, np.uint64, np.uint32)
+            ids, first = unpack(about[i], np.int64, np.uint32)
             ids, first = np.cumsum(ids), np.cumsum(first, dtype=np.uint32)
-            parts.append((np.cumsum(steps, dtype=np.uint64), at, ids[np.searchsorted(first, at, "right") - 1]))
+            parts.append((np.cumsum(leaves, dtype=np.uint64), at, ids[np.searchsorted(first, at, "right") - 1]))
         size = np.cumsum([0, *(len(x[1]) for x in parts)])
         leaf, at, ids = (np.concatenate([x[i] for x in parts]) for i in range(3))
         del parts
@@ -203,7 +177,7 @@ def _decided(rows: DataFrame, split: Prefixes, min_words: int, block_bytes: int)
         for i, name in enumerate(names):
             mine = at[size[i] : size[i + 1]][again[size[i] : size[i + 1]]]
             if len(mine):
-                out.append((name, _pack(_steps(np.sort(mine)))))
+                out.append((name, pack(steps(np.sort(mine)))))
         return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "places": pa.array([x[1] for x in out], pa.binary())})
 
     sent = rows.select("id", "body").mapInArrow(leave, "grp long, block string, places binary, about binary")
@@ -300,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(table: pa.Table) -> pa.Table:
         kept = [x for x in table.column("rows").to_pylist() if x is not None]
-        places = [np.cumsum(_unpack(x, np.uint32)[0], dtype=np.uint32) for x in table.column("places").to_pylist() if x is not None]
+        places = [np.cumsum(unpack(x, np.uint32)[0], dtype=np.uint32) for x in table.column("places").to_pylist() if x is not None]
         if not kept or not places:
             raise RuntimeError("the documents differ between two reads; write them to a table first")
         batch = pa.ipc.open_stream(kept[0]).read_all().combine_chunks().to_batches()
