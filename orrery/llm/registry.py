@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, repeats, simhash
+from . import decontaminate, ngrams, repeats, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.lm_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
