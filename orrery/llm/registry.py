@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngrams, repeats, simhash
+from . import decontaminate, ngrams, packing, repeats, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.lm_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
