@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, decontaminate, ngrams, packing, repeats, simhash, warc
+from . import ctph, decontaminate, ngrams, packing, repeats, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,9 @@ def op6_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.neighbour_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
