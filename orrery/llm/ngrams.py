@@ -121,6 +121,38 @@ def _send(kind: str, shards: int, key: np.ndarray, *columns: np.ndarray) -> Iter
         yield kind, s, pack(steps(columns[0][part]), *(c[part] for c in columns[1:]))
 
 
+def _send_grams(k: int, shards: int, key: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+    """N-grams as `_send` has them; each blob has its words once, and their numbers in ascending order."""
+    if k == 1:
+        yield from _send("grams1", shards, key, *words, counts)
+        return
+    shard = shard_of(key, shards)
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        part = order[bounds[s] : bounds[s + 1]]
+        names, number = np.unique(np.concatenate([w[part] for w in words]), return_inverse=True)
+        number = number.astype(np.uint32).reshape(k, -1)
+        sort = np.lexsort(number[::-1])
+        yield f"grams{k}", s, pack(steps(names), steps(number[0][sort]), *(x[sort] for x in number[1:]), counts[part][sort])
+
+
+def _receive_grams(k: int, blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    if k == 1:
+        parts = [unpack(b, np.uint64, np.uint64) for b in blobs]
+        return [np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])], np.concatenate([p[1] for p in parts])
+    words: list[list[np.ndarray]] = [[] for _ in range(k)]
+    counts = []
+    for blob in blobs:
+        names, *number, n = unpack(blob, np.uint64, *[np.uint32] * k, np.uint64)
+        names = np.cumsum(names, dtype=np.uint64)
+        number[0] = np.cumsum(number[0], dtype=np.uint32)
+        for held, x in zip(words, number, strict=True):
+            held.append(names[x])
+        counts.append(n)
+    return [np.concatenate(w) for w in words], np.concatenate(counts)
+
+
 _SENT = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("blob", pa.binary())])
 
 
@@ -142,7 +174,7 @@ def _project(k: int, shards: int, words: list[np.ndarray], count: np.ndarray) ->
     head[1:] = name[order][1:] != name[order][:-1]
     at = np.flatnonzero(head)
     pick = code[order][at]
-    yield from _send(f"grams{k - 1}", shards, name[pick], *(w[pick] for w in lower), np.add.reduceat(add[order], at) if len(at) else add)
+    yield from _send_grams(k - 1, shards, name[pick], [w[pick] for w in lower], np.add.reduceat(add[order], at) if len(at) else add)
 
 
 def _hash(columns: list[np.ndarray]) -> np.ndarray:
@@ -170,7 +202,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
             head = np.flatnonzero(head)
             pick = at[sort[head]]
             counts = np.diff(np.append(head, len(name))).astype(np.uint64)
-            sent = list(_send(f"grams{order}", shards, name[sort[head]], *(words[pick - order + 1 + i] for i in range(order)), counts))
+            sent = list(_send_grams(order, shards, name[sort[head]], [words[pick - order + 1 + i] for i in range(order)], counts))
             key, n = sum_by(run_hashes(words[at], 1), np.ones(len(at), np.uint64))
             sent += _send("raw", shards, key, key, n)
             yield from _rows(sent).to_batches()
@@ -191,10 +223,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
             write_shard(uri, kind, shard, *out[:2], *(x.astype(np.uint32) for x in out[2:]))
             return _rows([])
         k = int(kind.removeprefix("grams"))
-        parts = [unpack(b, *[np.uint64] * (k + 1)) for b in blobs]
-        words = [np.concatenate([np.cumsum(p[i], dtype=np.uint64) if not i else p[i] for p in parts]) for i in range(k)]
-        counts = np.concatenate([p[k] for p in parts])
-        del parts
+        words, counts = _receive_grams(k, blobs)
         name = _hash(words)
         sort = np.argsort(name)
         name = name[sort]
