@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, decontaminate, ngrams, packing, perspectives, repeats, simhash, toxicity, warc
+from . import ctph, decontaminate, extract, ngrams, packing, perspectives, repeats, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,9 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotation_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_perspective_rotation": op1_perspective_rotation, "op4_toxicity": op4_toxicity, "op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extraction_query(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_extract": op3_extract, "op1_perspective_rotation": op1_perspective_rotation, "op4_toxicity": op4_toxicity, "op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op1_perspective_rotation": perspectives.SQL, "op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
