@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffixes import search, suffix_array
-from .words import LETTERS, blocks, find_words, text_bytes
+from .words import LETTERS, blocks, find_words, loose, text_bytes
 
 #: Bytes of document text in one suffix array, and of benchmark text sent at once.
 SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
@@ -156,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             rows = _report(words, parts[0].value)
             for part in parts[1:]:
                 rows = [_merge(a, b) for a, b in zip(rows, _report(words, part.value), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(rows, type=found)], ["kept", "found"])
+            yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(rows, type=found)], ["kept", "found"])
 
     found = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))])
     out = kept.mapInArrow(scan, f"kept {kept.schema['kept'].dataType.simpleString()}, found struct<{RESULT}>")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pages import INLINE, Block, blocks_of
-from .words import blocks
+from .words import blocks, loose
 
 #: Labelled pages at most, layouts of each, blocks of a page that are learnt from, weights.
 SAMPLE, LAYOUTS, LONGEST, SIZE = 300, 4, 200, 1 << 15
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, field: Field, html_col: str = "html", keep: list[s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "body", BLOCK_BYTES):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(texts(block.column(1).to_pylist(), sent.value), pa.string())], ["own", "main"])
+            yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(texts(block.column(1).to_pylist(), sent.value), pa.string())], ["own", "main"])
 
     out = rows.mapInArrow(scan, f"own {rows.schema['own'].dataType.simpleString()}, main string")
     return out.select("own.*", F.col("main").alias("text"))

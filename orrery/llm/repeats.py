@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import pack, steps, unpack
-from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes, whole_runs
+from .words import UNSPACED, Words, blocks, find_words, loose, run_hashes, text_bytes, whole_runs
 
 #: Words of a window; bytes of text in a block; suffixes a group should have at most; groups at least.
 MIN_WORDS, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS = 13, 6 << 20, 1_500_000, 64
@@ -252,11 +252,12 @@ def _lead(words: Words, d: int) -> int:
     return at - start if start == floor and not words.first[d] else 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, digest: bool = False, drop_emptied: bool = False) -> DataFrame:
     """Documents without the words that a window of `min_words` covers which also starts in a document of smaller id.
 
     Windows are judged on the input.  Returns the columns of docs, the text
     replaced; with `digest` instead (id, n_words, n_removed, kept_sha256).
+    drop_emptied: leave out documents that had words and lose all of them.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"), own.alias("own"))
@@ -280,17 +281,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         batch = pa.ipc.open_stream(kept[0]).read_all().combine_chunks().to_batches()
         block = Block(batch[0], min_words)
         gone = _cut(block, places)
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[block.words.first])
         if digest:
-            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[block.words.first])
             out = pa.table({"id": block.batch.column(0), "n_words": block.words.counts, "n_removed": removed, "kept_sha256": _digests(block.words, gone)})
         else:
             text = _texts(block.words, gone, block.batch.column(1))
-            own_ = block.batch.column(block.batch.schema.get_field_index("own"))
+            own_ = loose(block.batch.column(block.batch.schema.get_field_index("own")))
             old = own_.field(text_at)
             fields = [text if i == text_at else own_.field(i) for i in range(own_.type.num_fields)]
             if old.null_count and text is not None:
                 fields[text_at] = pa.array([None if was is None else now for was, now in zip(old.to_pylist(), text.to_pylist(), strict=True)], pa.string())
             out = pa.table({"own": pa.StructArray.from_arrays([f.cast(own_.type.field(i).type) for i, f in enumerate(fields)], fields=list(own_.type))})
+        if drop_emptied:
+            out = out.filter(pa.array((removed == 0) | (removed < block.words.counts)))
         return pa.concat_tables([out] * len(kept))
 
     text_at = docs.columns.index(text_col)

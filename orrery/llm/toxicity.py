@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import LETTERS, blocks, find_words, text_bytes, word_hashes
+from .words import LETTERS, blocks, find_words, loose, text_bytes, word_hashes
 
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 4096
 #: Bytes of a word that are features of their own; least texts with a feature; least difference of shares in standard errors.
@@ -198,7 +198,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "body", BLOCK_BYTES):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sent.value.scores(block.column(1)))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(sent.value.scores(block.column(1)))], ["id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -80,6 +80,22 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, at - at[0]
 
 
+def _loose(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _loose(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _loose(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(_loose(kind.key_type), _loose(kind.item_type))
+    return kind
+
+
+def loose(column: pa.Array) -> pa.Array:
+    """The same values, of a type whose fields may be null, as the schemas declared to Spark say."""
+    kind = _loose(column.type)
+    return column if kind == column.type else column.cast(kind)
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: bool = False) -> Words:
     if fold:
         data = FOLD[data]
