@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ctph, decontaminate, extract, ngrams, packing, perspectives, repeats, simhash, toxicity, warc
@@ -51,5 +52,9 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extraction_query(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_extract": op3_extract, "op1_perspective_rotation": op1_perspective_rotation, "op4_toxicity": op4_toxicity, "op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op3_extract": op3_extract, "op1_perspective_rotation": op1_perspective_rotation, "op4_toxicity": op4_toxicity, "op6_piecewise_hash": op6_piecewise_hash, "op7_warc": op7_warc, "op10_packing": op10_packing, "op5_kneser_ney": op5_kneser_ney, "op2_decontaminate": op2_decontaminate, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash}
 SQL = {"op1_perspective_rotation": perspectives.SQL, "op2_decontaminate": decontaminate.SQL, "op8_substring_dedup": repeats.SQL}
