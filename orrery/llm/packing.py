@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,10 @@ from .words import blocks
 
 WINDOW, END_ID, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Bytes of text tokenised at once; words whose ids a worker remembers.
-BLOCK_BYTES, REMEMBERED = 4 << 20, 300_000
+BLOCK_BYTES, REMEMBERED = 4 << 20, 1_600_000
 _UNSAFE = re.compile(r"\s ")
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_COMPOUND = re.compile(f"({_LATIN})(?=[.,\\n])([.,])?(?:\\n({_LATIN})([.,])?)?")
 
 
 class Ids:
@@ -44,7 +47,9 @@ class Ids:
 
     No token of a byte-level pre-tokeniser reaches from a visible character
     over the space after it, so a text whose spaces all follow visible
-    characters is encoded word by word, and frequent words once.
+    characters is encoded word by word, and frequent words once.  A word of
+    letters is encoded without the full stop, comma or line end after it, which
+    are tokens of their own.
     """
 
     def __init__(self, description: str, remembered: int = REMEMBERED):
@@ -53,21 +58,51 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.opening = remembered, {}, {}
+        self.marks = dict(zip([None, ".", ",", "\n"], [b"", *self._encode([".", ",", "\n"])], strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # ids without places
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words that follow a space."""
+        known, opening, marks = self.known, self.opening, self.marks
+        plain, first, compound = set(), set(), []
+        for w in words:
+            found = _COMPOUND.fullmatch(w)
+            if found is None:
+                plain.add(w)
+                continue
+            compound.append((w, *found.groups()))
+            if found[1] not in known:
+                plain.add(found[1])
+            if found[3] is not None and found[3] not in opening:
+                first.add(found[3])
+        plain, first = list(plain), list(first)
+        known.update(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
+        opening.update(zip(first, self._encode(first), strict=True))
+        for w, a, mark, b, end in compound:
+            known[w] = known[a] + marks[mark] + (marks["\n"] + opening[b] + marks[end] if b is not None else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
         known = self.known
-        if len(known) > self.remembered:
+        if len(known) + len(self.opening) > self.remembered:
             known.clear()
-        new = list({w for words in split if words for w in words[1:] if w not in known})
-        known.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        whole = [t if words is None else words[0] for t, words in zip(texts, split, strict=True)]
-        heads = self._encode(whole)
-        return [head if words is None else head + b"".join(map(known.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
+            self.opening.clear()
+        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        heads = self._encode([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
+        found, holes, new = [], [], set()
+        for words in split:
+            ids = list(map(known.get, words[1:])) if words else []
+            hole = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([words[i + 1] for i in hole])
+            found.append(ids)
+            holes.append(hole)
+        self._learn(new)
+        for words, ids, hole in zip(split, found, holes, strict=True):
+            for i in hole:
+                ids[i] = known[words[i + 1]]
+        return [head + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
 
 
 _WORKER: dict[int, Ids] = {}
