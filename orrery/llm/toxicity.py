@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .words import LETTERS, blocks, find_words, loose, text_bytes, word_hashes
 
-POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 4096
+POSITIVES, UNLABELLED, FEATURES = 2000, 5000, 4096
 #: Bytes of a word that are features of their own; least texts with a feature; least difference of shares in standard errors.
 HEADS, LEAST, CLEAR = (3, 4, 5, 6, 7, 8), 3, 4.0
 #: Least share of toxic texts among those with a feature.
@@ -96,6 +96,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which values are among the names, which ascend."""
+    return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values if len(names) else np.zeros(len(values), bool)
+
+
 def _screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int) -> np.ndarray:
     """Features that more of the positive than of the unlabelled texts have, clearly, and that are toxic more often than not.
 
@@ -163,7 +168,7 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int, only: np.ndarray | None
             document, feature, n = features(block.column(1))
             document, feature = distinct(document, feature)
             if wanted is not None:
-                use = np.isin(feature, wanted.value)
+                use = _among(feature, wanted.value)
                 document, feature = document[use], feature[use]
             to = np.searchsorted(document, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([feature[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)], pa.binary())], ["id", "features"])
@@ -187,9 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         prior = marks.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
         prior = min(max(prior, 1e-3), 0.999) if prior else 0.0
     positive = _sample(rows, marks.filter("label = 1").select("id"), positives)
-    names, n = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.zeros(0, np.uint64), np.zeros(0, int))
-    # Only features of some positives can be chosen, so no others of the unlabelled texts are sent.
-    return train(positive, _sample(rows, rows.select("id"), unlabelled, names[n >= LEAST]), prior)
+    # Only features of some positives can be chosen, so no others are held, nor sent of the unlabelled texts.
+    every = np.sort(np.concatenate(positive)) if positive else np.zeros(0, np.uint64)
+    names = np.unique(every[LEAST - 1 :][every[LEAST - 1 :] == every[: len(every) - LEAST + 1]])
+    del every
+    positive = [t[_among(t, names)] for t in positive]
+    return train(positive, _sample(rows, rows.select("id"), unlabelled, names), prior)
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
