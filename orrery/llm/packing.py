@@ -36,7 +36,7 @@ from .words import blocks
 
 WINDOW, END_ID, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Bytes of text tokenised at once; words whose ids a worker remembers.
-BLOCK_BYTES, REMEMBERED = 4 << 20, 1_600_000
+BLOCK_BYTES, REMEMBERED = 4 << 20, 800_000
 _UNSAFE = re.compile(r"\s ")
 _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 _COMPOUND = re.compile(f"({_LATIN})(?=[.,\\n])([.,])?(?:\\n({_LATIN})([.,])?)?")

@@ -8,6 +8,8 @@ a 64-bit hash, and runs of words a hash combined from those.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,7 @@ _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _STEP = 0x2545F4914F6CDD1D | 1
 _LONG = 256
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -161,8 +164,22 @@ def whole_runs(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(words.starts)) + n <= ends)
 
 
+def _trim() -> None:
+    """Give memory that a task has freed back to the system, as workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows, in order, in batches of about `most` bytes of text (one row at least)."""
+    try:
+        yield from _blocks(batches, column, most)
+    finally:
+        _trim()
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
 
