@@ -5,7 +5,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT, SF
+from common import ROOT, SF
 
 import __spark_entry__ as entry
 from orrery.plans import registry

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
-from conftest import SF
+from common import SF
 from pyspark.sql import functions as F
 
 from orrery.kernels import kepler
