@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 from .words import blocks
 
 WINDOW, END_ID, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Bytes of text tokenised at once; words whose ids a worker remembers.
-BLOCK_BYTES, REMEMBERED = 4 << 20, 800_000
+BLOCK_BYTES, REMEMBERED = 4 << 20, 1_400_000
 _UNSAFE = re.compile(r"\s ")
 _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 _COMPOUND = re.compile(f"({_LATIN})(?=[.,\\n])([.,])?(?:\\n({_LATIN})([.,])?)?")
@@ -206,6 +206,7 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> tuple[l
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens) of each full window and rest, with (part, nth): its place among those of its length in its task."""
     spark = docs.sparkSession
+    small_batches(spark)
     description = spark.sparkContext.broadcast(tokenizer_json(tokenizer))  # one file, 2 MB
     end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
