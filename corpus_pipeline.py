@@ -5,8 +5,8 @@ kept; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
 
 1. Toxicity: documents that the classifier rejects go.
-2. SimHash near-dedup: of each group of near copies the document of the
-   smallest id stays.
+2. SimHash near-dedup: of each group of near copies (sets of five-word shingles
+   that are 0.8 similar or more) the document of the smallest id stays.
 3. Substring dedup: words go that a run of 13 words covers which also starts in
    a document of smaller id; a document that keeps none of its words goes.
 4. Benchmark decontamination: documents with a word in a window of a benchmark
@@ -29,7 +29,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_similar(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

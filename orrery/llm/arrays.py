@@ -108,3 +108,15 @@ def lookup(uri: str, table: str, shards: int, query: np.ndarray, *kinds: type) -
         for o, c in zip(out, columns, strict=True):
             o[where] = c[at[found]]
     return out
+
+
+def put_bytes(uri: str, name: str, data: bytes) -> None:
+    """A file to be mapped; one of no bytes is not written."""
+    if data:
+        put(uri, name, data)
+
+
+@lru_cache(maxsize=4096)
+def mapped_bytes(uri: str, name: str) -> mmap.mmap:
+    with open(_local(uri, name), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)

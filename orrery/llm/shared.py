@@ -55,3 +55,26 @@ def put(uri: str, name: str, data: bytes | memoryview) -> None:
     with fs.open_output_stream(own, compression=None) as out:
         out.write(data)
     fs.move(own, f"{path}/{name}")
+
+
+#: Parts of a plan that give the same rows in the same order each time they are read.
+_STEADY = ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation", "LogicalRDD", "LocalRelation", "Range")
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """The same rows, in an order that a second read repeats: as they are if they come straight from a table, else written first."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if not str(node.nodeName()).startswith(_STEADY):
+            return cut(df)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts: Spark's default of 10,000 rows can be hundreds of megabytes of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
