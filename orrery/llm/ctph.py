@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import blocks, mix, text_bytes, word_hashes
 
 WINDOW, SMALLEST, PIECES = 7, 3, 64
@@ -192,6 +193,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next); the edited text is described in `neighbour_query`.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     dealt = buckets(rows.withColumn("mark", F.xxhash64("body")))
     fields = [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]

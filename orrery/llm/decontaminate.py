@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .suffixes import search, suffix_array
 from .words import LETTERS, blocks, find_words, loose, text_bytes
 
@@ -146,6 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     least a window.  window: words of one (an item of fewer is one window).
     """
     session = docs.sparkSession
+    small_batches(session)
     keep = [id_col] if keep is None else keep
     parts = [session.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, item_col, item_text, window, block_bytes)]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("body"))

@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pages import INLINE, Block, blocks_of
+from .shared import small_batches
 from .words import blocks, loose
 
 #: Labelled pages at most, layouts of each, blocks of a page that are learnt from, weights.
 SAMPLE, LAYOUTS, LONGEST, SIZE = 300, 4, 200, 1 << 15
-STEPS, RATE, DECAY = 200, 0.1, 1e-4
+STEPS, RATE, DECAY = 200, 0.1, 1e-5
 #: Bytes of the largest page that is learnt from (all are decoded), and of pages decoded at once.
 LARGEST, BLOCK_BYTES = 1 << 20, 4 << 20
 
@@ -58,7 +59,8 @@ def features(page: list[Block]) -> list[list[int]]:
         own = next((t for t in reversed(tags) if t not in INLINE), "")
         words = b.text.split(" ")
         share = b.linked / max(1, len(b.text))
-        f = {"bias", f"own {own}", f"words {len(words).bit_length()}", f"links {round(4 * share)}", f"own {own} words {len(words).bit_length()}", f"own {own} links {share > 0.5}"}
+        size = min(7, len(words).bit_length())
+        f = {"bias", f"own {own}", f"words {size}", f"links {round(4 * share)}", f"own {own} words {size}", f"own {own} links {share > 0.5}"}
         f.update(f"in {t}" for t in tags)
         f.update(f"last {t}" for t in tags[-2:])
         f.update(f"name {w}" for _, names in b.path for w in names)
@@ -152,6 +154,8 @@ def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[str,
         core = plain() + core + "</div>"
     if rng.random() < 0.9:
         after.append(part("footer"))
+    if rng.random() < 0.15:  # a page that is nothing but its text
+        return core, main
     title = escape((main[0] if main else "…")[:60])
     return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{''.join(before)}{core}{''.join(after)}</body></html>", main
 
@@ -169,7 +173,8 @@ def labelled(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> list[tu
     long = [t for main, _ in known for t in main[1:] if len(t) > 40] or pool
     for main, _ in known or [([f"Lorem ipsum {i} dolor sit amet, consectetur adipiscing elit." for i in range(6)], [])]:
         for _ in range(layouts):
-            some = [f"{t} {i}." for i, t in enumerate(main[:40])]  # numbered, so that a block is known by its text
+            some = [f"{i} {t}" for i, t in enumerate(main[:40])]  # numbered, so that a block is known by its text
+            some = some[: rng.choice([1, 3, 40, 40])]
             html, marked = layout(rng, some, [*rng.choices(pool, k=12), *rng.choices(long, k=12)])
             page = blocks_of(html)[:LONGEST]
             want = {" ".join(t.split()) for t in marked}
@@ -274,6 +279,7 @@ def texts(html: list[str | None], field: Field) -> list[str]:
 
 def extract(pages: DataFrame, field: Field, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` and the main text, as `text`, of every page."""
+    small_batches(pages.sparkSession)
     keep = ["page_id", "url"] if keep is None else keep
     sent = pages.sparkSession.sparkContext.broadcast(field)  # SIZE weights
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("body"))

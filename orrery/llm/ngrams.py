@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import lookup, pack, shard_of, steps, sum_by, unpack, write_shard
-from .shared import fresh_dir, remove_dir
+from .shared import fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, blocks, find_words, run_hashes, text_bytes
 
 #: Highest order; bytes of text in a block; tokens counted in a shard, about; shards at least.
@@ -186,6 +186,7 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
 def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Count all rows of texts; the arrays go to the shared folder and are removed when the driver ends."""
     spark = texts.sparkSession
+    small_batches(spark)
     uri = fresh_dir(spark, "ngrams")
     atexit.register(_forget, uri)
     rows = texts.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))

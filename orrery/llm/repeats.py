@@ -16,8 +16,9 @@ sequence and the place in the block.  A group sends back the places whose
 sequence a smaller document has.  The blocks, compressed, meet what came back
 in one more shuffle.  No task holds more than a group or a block.
 
-The input is read three times and must be repeatable (a file, a table, a
-checkpoint); a block that comes out differently is noticed and raises.
+The input is read three times in the same order: a table as it is, the result
+of a shuffle from a copy that is written first.  A block that comes out
+differently all the same is noticed and raises.
 
 Defined results: null and empty texts have no words, and fewer than `min_words`
 words make no window: such rows come back as they are.  Equal ids are not
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import pack, steps, unpack
+from .shared import small_batches, steady
 from .words import UNSPACED, Words, blocks, find_words, loose, run_hashes, text_bytes, whole_runs
 
 #: Words of a window; bytes of text in a block; suffixes a group should have at most; groups at least.
@@ -259,6 +261,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     replaced; with `digest` instead (id, n_words, n_removed, kept_sha256).
     drop_emptied: leave out documents that had words and lose all of them.
     """
+    small_batches(docs.sparkSession)
+    docs = steady(docs)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"), own.alias("own"))
     split = prefixes(rows.select("id", "body"), min_words, group_suffixes)

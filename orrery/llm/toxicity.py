@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import LETTERS, blocks, find_words, loose, text_bytes, word_hashes
 
 POSITIVES, UNLABELLED, FEATURES = 2000, 5000, 4096
@@ -185,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn: which rows (by `id`) may be learnt from.  prior: the share of toxic
     texts; if not given, the share of label 1 among the labels to learn from.
     """
+    small_batches(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body")).filter(learn)
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(learn).filter("label IS NOT NULL")
