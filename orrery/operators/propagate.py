@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import micros, seconds_between
-from ..kernels import geometry, rk4
+from ..kernels import geometry, kepler, rk4
 from ..kernels.sgp4 import elements
 from .joins import asof
 
@@ -84,6 +84,26 @@ def residual(line1: Column, line2: Column, bstar: Column, seconds: Column, next1
     return run(line1, line2, bstar, seconds, next1, next2)
 
 
+def ellipse_state(a_km: Column, eccentricity: Column, inclination: Column, node: Column, perigee: Column, mean: Column, seconds: Column) -> Column:
+    """State on a fixed ellipse after some seconds; angles in radians."""
+
+    @F.pandas_udf(STATE)
+    def run(a: pd.Series, e: pd.Series, i: pd.Series, o: pd.Series, w: pd.Series, m: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(kepler.states(*(x.to_numpy(float) for x in (a, e, i, o, w, m, t))), columns=_NAMES)
+
+    return run(*[c.cast("double") for c in (a_km, eccentricity, inclination, node, perigee, mean, seconds)])
+
+
+def numerical_state(state: Column, drag: Column, seconds: Column, physical: bool = False) -> Column:
+    """A state (a struct of six) carried by Runge-Kutta; drag is B* in 1 / Earth radii."""
+
+    @F.pandas_udf(STATE)
+    def run(s: pd.DataFrame, d: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(rk4.propagate(s[_NAMES].to_numpy(float), d.fillna(0).to_numpy(float) / rk4.RADIUS / 1000.0, t.to_numpy(float), physical), columns=_NAMES)
+
+    return run(state, drag.cast("double"), seconds.cast("double"))
+
+
 def _us(t: datetime) -> int:
     return round((t.replace(tzinfo=None) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
 
