@@ -109,16 +109,20 @@ def covering(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
 def covering_else_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, hours: int = 3) -> DataFrame:
     """`covering`, and for times in no interval the value nearest in time (the earlier on a tie).
 
-    Both come from one as-of pass: the last time at or before holds the left
-    time if it is less than the interval away.
+    Neighbours in the series are the same for all times of an interval, so they
+    are found once for each interval that occurs, and joined to the rows.
     """
-    one = F.lit(1).alias("__one")
-    found = around(left.select("*", one), right.select("*", one), ["__one"], left_time, right_time, [value], bucket_seconds=30 * 86_400)
+    width = F.lit(hours * 3_600_000_000)
+    slot = F.floor(micros(F.col(left_time)) / width)
+    slots = left.select(slot.alias("__slot")).distinct().filter("__slot IS NOT NULL")
+    slots = slots.select("__slot", F.lit(1).alias("__one"), F.timestamp_add("MICROSECOND", F.col("__slot") * width, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias("__begin"))
+    series = right.select(F.col(right_time).alias("__at"), F.col(value).alias("__v"), F.lit(1).alias("__one"))
+    found = around(slots, series, ["__one"], "__begin", "__at", ["__v"])  # a row for each three hours
+    rows = left.withColumn("__slot", slot).join(found.select("__slot", "prev", "next"), "__slot", "left")
     t = micros(F.col(left_time))
     before, after = t - micros(F.col("prev.time")), micros(F.col("next.time")) - t
-    holds = before < F.lit(hours * 3_600_000_000)
-    pick = F.when(holds | F.col("next").isNull() | (before <= after), F.col(f"prev.{value}")).otherwise(F.col(f"next.{value}"))
-    return found.withColumn(value, F.when(F.col("prev").isNull(), F.col(f"next.{value}")).otherwise(pick)).drop("prev", "next", "__one")
+    pick = F.when((before < width) | F.col("next").isNull() | (before <= after), F.col("prev.__v")).otherwise(F.col("next.__v"))
+    return rows.withColumn(value, F.when(F.col("prev").isNull(), F.col("next.__v")).otherwise(pick)).drop("prev", "next", "__slot")
 
 
 def _touched(t: Column, tolerance_us: int) -> Column:

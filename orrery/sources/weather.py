@@ -106,9 +106,11 @@ def flux_at(rows: DataFrame, days: DataFrame, time: str, column: str = "f107", n
     from ..operators.joins import nearest
 
     day = F.date_trunc("DAY", F.col(time)).cast("timestamp_ntz")
-    rows = rows.withColumn("__day", F.timestamp_add("DAY", F.lit(-1), day) if previous else day).withColumn("__one", F.lit(1))
+    rows = rows.withColumn("__day", F.timestamp_add("DAY", F.lit(-1), day) if previous else day)
     series = days.select(F.col("date").cast("timestamp_ntz").alias("__at"), F.col(column).alias("__v"), F.lit(1).alias("__one"))
-    return nearest(rows, series, ["__one"], "__day", "__at", ["__v"]).withColumn(name or column, F.col("match.__v")).drop("match", "__day", "__one")
+    asked = rows.select("__day", F.lit(1).alias("__one")).distinct()  # a row for each day
+    found = nearest(asked, series, ["__one"], "__day", "__at", ["__v"]).select("__day", F.col("match.__v").alias("__found"))
+    return rows.join(found, "__day", "left").withColumn(name or column, F.col("__found")).drop("__found", "__day")
 
 
 def atmosphere_inputs(rows: DataFrame, days: DataFrame, time: str) -> DataFrame:

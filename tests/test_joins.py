@@ -100,3 +100,17 @@ def test_tolerance_at_exactly_the_bound(spark):
     left = spark.createDataFrame([(1, T0), (2, T0 + timedelta(seconds=10))], "l int, t timestamp_ntz").selectExpr("l", "1 k", "t")
     right = spark.createDataFrame([(T0 + timedelta(seconds=1),), (T0 + timedelta(seconds=11, microseconds=1),)], "u timestamp_ntz").selectExpr("1 k", "u")
     assert [r.l for r in joins.within_tolerance(left, right, ["k"], "t", "u", 1.0).collect()] == [1]
+
+
+@FEW
+@given(spans=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 300_000), st.integers(1, 120_000)), max_size=25))
+def test_stretches_are_parted_where_the_sensor_is_idle(spark, spans):
+    rows = spark.createDataFrame([(i, k, a, a + n) for i, (k, a, n) in enumerate(spans)], "i int, sensor int, __s long, __e long")
+    got = {r.i: r["__busy"] for r in schedule._stretches(rows, "sensor").collect()}
+    for sensor in (0, 1):
+        end = begin = None
+        for a, b, i in sorted((a, a + n, i) for i, (k, a, n) in enumerate(spans) if k == sensor):
+            if end is None or a >= end:
+                begin = a
+            end = b if end is None else max(end, b)
+            assert got[i] == begin
