@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-JULIAN = """j AS (SELECT *, epoch_us(t) // 86400000000 + 2440587.5 AS jd, (epoch_us(t) - epoch_us(t) // 86400000000 * 86400000000) / 86400000000.0 AS fr FROM st),
+JULIAN = """j AS (SELECT *, epoch_us(t) // 86400000000 + 2440587.5::DOUBLE AS jd, (epoch_us(t) - epoch_us(t) // 86400000000 * 86400000000) / 86400000000.0 AS fr FROM st),
 c AS (SELECT *, (jd + fr - 2451545.0) / 36525.0 AS u FROM j), s AS (SELECT *, (67310.54841 + (876600.0::DOUBLE * 3600.0 + 8640184.812866) * u + 0.093104 * u * u - 6.2e-6 * u * u * u) / 240.0 AS d FROM c),
 g AS (SELECT *, radians(((d % 360.0) + 360.0) % 360.0) AS gst FROM s), x AS (SELECT *, rx * cos(gst) + ry * sin(gst) AS ex, ry * cos(gst) - rx * sin(gst) AS ey, rz AS ez FROM g)"""
 
