@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 
 from .arrays import mapped_bytes, put_bytes
 from .components import components
-from .shared import cut, fresh_dir, small_batches
+from .shared import cut, fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Of near copies by similarity.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE = 5, 0.8, 16, 4096
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE = 5, 0.8, 16, 16384
 #: Fingerprints in a tile; bytes of text taken at once; pairs compared at once.
 TILE, BLOCK_BYTES, AT_ONCE = 8192, 2 << 20, 1 << 20
 
@@ -228,31 +228,29 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def verified_forest(left: np.ndarray, right: np.ndarray, radius: int, alike) -> list[tuple[int, int]]:
     """Links that connect all that links of candidates connect; alike(i, j) decides on one of left and one of right.
 
-    In each round every member takes its nearest candidate it is not connected
-    with yet; those that fail are no candidates any more.  So each pair is
-    decided at most once, and a large group costs about a decision a member.
+    Some rows of candidates at a time; in each round every member takes its
+    nearest candidate it is not connected with yet, and those that fail are no
+    candidates any more.  So each pair is decided at most once, and a large
+    group costs about a decision a member.
     """
     n, found = len(left), []
+    parent = np.arange(n + len(right))
     height = max(1, AT_ONCE // max(1, len(right)))
-    near: list[np.ndarray] = []
     for at in range(0, n, height):
-        d = np.bitwise_count(left[at : at + height, None] ^ right[None, :])
+        d = np.bitwise_count(left[at : at + height, None] ^ right[None, :]).reshape(-1)
         hit = np.flatnonzero(d <= radius)
-        near.append(np.stack([hit // len(right) + at, hit % len(right), d.reshape(-1)[hit]]).astype(np.int32))
-    i, j, d = np.concatenate(near, axis=1) if near else np.zeros((3, 0), np.int32)
-    order = np.argsort(d, kind="stable")
-    i, j = i[order], j[order]
-    parent = np.arange(n + len(right))
-    while len(i):
-        apart = parent[i] != parent[j + n]
-        i, j = i[apart], j[apart]
-        pick = np.unique(np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]]))
-        good = np.array([alike(a, b) for a, b in zip(i[pick].tolist(), j[pick].tolist(), strict=True)], bool)
-        found += list(zip(i[pick][good].tolist(), j[pick][good].tolist(), strict=True))
-        parent = _union(parent, i[pick][good], j[pick][good] + n)
-        rest = np.ones(len(i), bool)
-        rest[pick] = False
-        i, j = i[rest], j[rest]
+        hit = hit[np.argsort(d[hit], kind="stable")]
+        i, j = hit // len(right) + at, hit % len(right)
+        while len(i):
+            apart = parent[i] != parent[j + n]
+            i, j = i[apart], j[apart]
+            pick = np.unique(np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]]))
+            good = np.array([alike(a, b) for a, b in zip(i[pick].tolist(), j[pick].tolist(), strict=True)], bool)
+            found += list(zip(i[pick][good].tolist(), j[pick][good].tolist(), strict=True))
+            parent = _union(parent, i[pick][good], j[pick][good] + n)
+            rest = np.ones(len(i), bool)
+            rest[pick] = False
+            i, j = i[rest], j[rest]
     return found
 
 
@@ -262,8 +260,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Candidates are texts whose SimHashes over these sets differ in `radius`
     bits at most; at similarity 0.8 they differ in 10 +- 3, so 16 leaves out one
     link in seventy there and next to none above 0.85 (unrelated texts differ
-    in 32 +- 4).  Each is decided by the sets themselves, which workers map from
-    the shared folder.  Texts of equal words are one node.
+    in 32 +- 4).  Each is decided by the sets themselves, 32 bits of a shingle's
+    hash, which workers map from the shared folder.  Texts of equal words are
+    one node.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -273,35 +272,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for block in blocks(batches, "body", BLOCK_BYTES):
             words = find_words(*text_bytes(block.column(1)), UNSPACED, fold=True)
             sets, names = shingle_sets(words, shingle)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            file = xxhash.xxh64_hexdigest(flat.tobytes())
-            put_bytes(uri, file, flat.tobytes())
-            size = np.array([len(s) for s in sets], np.int64)
-            columns = [block.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(_majority(sets).view(np.int64)), pa.array([file] * len(sets)), pa.array(np.cumsum(size) - size), pa.array(size)]
+            small = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+            flat = np.concatenate([*small, np.zeros(0, np.uint32)]).tobytes()
+            file = np.uint64(xxhash.xxh64_intdigest(flat)).astype(np.int64)
+            put_bytes(uri, str(file), flat)
+            size = np.array([len(s) for s in small], np.int32)
+            columns = [block.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(_majority(sets).view(np.int64)), pa.array(np.full(len(sets), file)), pa.array((np.cumsum(size) - size).astype(np.int32)), pa.array(size)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fingerprint", "file", "at", "n"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
-    prints = cut(rows.mapInArrow(scan, "id long, node long, fingerprint long, file string, at long, n long"))
+    prints = cut(rows.mapInArrow(scan, "id long, node long, fingerprint long, file long, at int, n int"))
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fingerprint", "file", "at", "n")).alias("s")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                sides = [batch.column(c)[k].values for c in (0, 1)]
-                prints_ = [np.asarray(s.field("fingerprint")).view(np.uint64) for s in sides]
-                names = [np.asarray(s.field("node")) for s in sides]
-                where = [list(zip(*(s.field(c).to_pylist() for c in ("file", "at", "n")), strict=True)) for s in sides]
-
-                def set_of(side: int, i: int) -> np.ndarray:
-                    file, at, n = where[side][i]  # noqa: B023
-                    return np.frombuffer(mapped_bytes(uri, file), np.uint64, n, 8 * at) if n else np.zeros(0, np.uint64)
-
-                found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_of(0, i), set_of(1, j)) >= least)  # noqa: B023
-                found = [(int(names[0][i]), int(names[1][j])) for i, j in found if names[0][i] != names[1][j]]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+        try:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield decided(*(batch.column(c)[k].values for c in (0, 1)))
+        finally:
+            mapped_bytes.cache_clear()  # a file that is mapped keeps its space after it is removed
+
+    def decided(*sides: pa.StructArray) -> pa.RecordBatch:
+        prints_ = [np.asarray(s.field("fingerprint")).view(np.uint64) for s in sides]
+        names = [np.asarray(s.field("node")) for s in sides]
+        where = [list(zip(*(s.field(c).to_pylist() for c in ("file", "at", "n")), strict=True)) for s in sides]
+
+        def set_of(side: int, i: int) -> np.ndarray:
+            file, at, n = where[side][i]
+            return np.frombuffer(mapped_bytes(uri, str(file)), np.uint32, n, 4 * at) if n else np.zeros(0, np.uint32)
+
+        found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_of(0, i), set_of(1, j)) >= least)
+        found = [(int(names[0][i]), int(names[1][j])) for i, j in found if names[0][i] != names[1][j]]
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
     pairs = _tile_pairs(nodes.select("s.fingerprint", "node", "s.file", "s.at", "s.n"), radius, tile, radius)
     roots = components(pairs.mapInArrow(compare, "u long, v long"))
+    remove_dir(uri)  # the links are decided and written
     rooted = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(rooted.join(smallest, "root").select("node", "component"), "node").select("id", "component")
