@@ -26,7 +26,6 @@ looked at.
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,7 +187,6 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
     spark = texts.sparkSession
     small_batches(spark)
     uri = fresh_dir(spark, "ngrams")
-    atexit.register(_forget, uri)
     rows = texts.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // (6 * shard_tokens)))
@@ -253,14 +251,6 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
     return Model(uri, order, shards, counts, int(sums["sum_1"][4]) if "sum_1" in sums else 0, tokens, vocabulary)
 
 
-def _forget(uri: str) -> None:
-    """Remove a model's arrays when the driver ends; the folder may be gone by then."""
-    try:
-        remove_dir(uri)
-    except OSError:
-        pass
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; perplexity is 10 ** (-score / n_tokens)."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,17 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared one, as a URI."""
+    """A new folder in the shared one, as a URI; it is removed when the driver ends, if not before."""
     base = shared_dir(spark).rstrip("/")
     base = base if "://" in base else f"file://{base}" if base.startswith("/") else base.replace("file:/", "file:///", 1)
     uri = f"{base}/orrery_{what}_{uuid.uuid4().hex}"
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
+    atexit.register(_forget, uri)
     return uri
 
 
-def open_dir(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+def _forget(uri: str) -> None:
+    """The folder may be gone by the end of the driver."""
+    try:
+        remove_dir(uri)
+    except OSError:
+        pass
 
 
 def remove_dir(uri: str) -> None:

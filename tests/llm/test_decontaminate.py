@@ -20,15 +20,18 @@ def _words(text):
 
 def brute(text, items, window=10):
     w = _words(text)
-    hit, names = set(), set()
+    hit, names, places = set(), set(), {}
     for name, item in items:
         x = _words(item)
         n = min(window, len(x))
-        for i in range(len(x) - n + 1) if n else ():
+        if n and n not in places:
+            places[n] = {}
             for j in range(len(w) - n + 1):
-                if w[j : j + n] == x[i : i + n]:
-                    hit.update(range(j, j + n))
-                    names.add(str(name))
+                places[n].setdefault(tuple(w[j : j + n]), []).append(j)
+        for i in range(len(x) - n + 1) if n else ():
+            for j in places[n].get(tuple(x[i : i + n]), ()):
+                hit.update(range(j, j + n))
+                names.add(str(name))
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
