@@ -5,8 +5,9 @@ over its words; every suffix of every benchmark item is binary-searched in it.
 That yields the longest verbatim match of each test suffix and its places, and
 from these the words of each document that lie inside a matched window.  A
 document never leaves its block, so the documents are read once and not
-shuffled.  The benchmark is the stated query set: it is sent to the executors
-in blocks of at most `block_bytes` of text, however large it is.
+shuffled.  The benchmark is the stated query set: the executors get it in
+blocks of about `block_bytes` of text and hold one at a time, however many
+there are.
 
 Defined results: null and empty texts (and items) have no words and match
 nothing; repeated rows are scored row by row; null item ids are left out of the
@@ -15,14 +16,18 @@ list of items; other columns of either table are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import pickle
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import fresh_dir, put, small_batches
 from .suffixes import search, suffix_array
 from .words import LETTERS, blocks, find_words, loose, text_bytes
 
@@ -126,17 +131,43 @@ def _merge(old: dict, new: dict) -> dict:
     return {"n_words": old["n_words"], "hits": spans, "items": sorted({*old["items"], *new["items"]}), "longest": longest}
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[TestSuffixes]:
-    """The whole benchmark, in blocks; read row by row, so the driver holds the hashes and one block of text."""
-    out, held, size = [], [], 0
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestSuffixes]:
+    """The whole benchmark, in blocks; read row by row, so the driver holds one block."""
+    held, size, some = [], 0, False
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
     for item, text in rows.toLocalIterator():
         held.append((item, text))
         size += len(text or "")
         if size >= block_bytes:
-            out.append(TestSuffixes(held, window))
-            held, size = [], 0
-    return [*out, TestSuffixes(held, window)] if held or not out else out
+            yield TestSuffixes(held, window)
+            held, size, some = [], 0, True
+    if held or not some:
+        yield TestSuffixes(held, window)
+
+
+def _sent(session: SparkSession, parts: Iterator[TestSuffixes]) -> tuple[int, Callable[[int], TestSuffixes]]:
+    """How many blocks there are, and how a worker gets one.
+
+    A single block, which is bounded, is broadcast; of more, each is a file in
+    the shared folder, and a worker holds one at a time.
+    """
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        only = session.sparkContext.broadcast(first)
+        return 1, lambda k: only.value
+    uri, count = fresh_dir(session, "benchmark"), 0
+    for part in itertools.chain([first, second], parts):
+        put(uri, f"{count:06d}", pickle.dumps(part))
+        count += 1
+    return count, lambda k: _loaded(uri, k)
+
+
+@lru_cache(maxsize=1)
+def _loaded(uri: str, k: int) -> TestSuffixes:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(f"{path}/{k:06d}") as f:
+        return pickle.loads(f.read())  # noqa: S301  our own file
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -149,15 +180,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     session = docs.sparkSession
     small_batches(session)
     keep = [id_col] if keep is None else keep
-    parts = [session.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, item_col, item_text, window, block_bytes)]
+    count, load = _sent(session, benchmark_blocks(benchmark, item_col, item_text, window, block_bytes))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("body"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "body", shard_bytes):
             words = find_words(*text_bytes(block.column(1)), LETTERS, fold=True)
-            rows = _report(words, parts[0].value)
-            for part in parts[1:]:
-                rows = [_merge(a, b) for a, b in zip(rows, _report(words, part.value), strict=True)]
+            rows = _report(words, load(0))
+            for k in range(1, count):
+                rows = [_merge(a, b) for a, b in zip(rows, _report(words, load(k)), strict=True)]
             yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(rows, type=found)], ["kept", "found"])
 
     found = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))])
