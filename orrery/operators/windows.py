@@ -27,13 +27,41 @@ def drag_change(before: Column, after: Column) -> Column:
     return F.when((before != 0) & (after != 0), F.abs(after - before)).otherwise(F.lit(0.0))
 
 
-def islands(rows: DataFrame, by: list[str], time: str, flag: str) -> DataFrame:
-    """Rows with `island`: a number for each run of rows for which flag is true; null where it is not."""
-    w = Window.partitionBy(*by).orderBy(time)
+def carried(rows: DataFrame, by: list[str], bucket: str, totals: dict[str, Column], running: dict[str, Column]) -> DataFrame:
+    """Rows with what the buckets before theirs come to.
+
+    totals: an aggregate of a bucket for each name; running: for each new
+    column an expression of these totals over the buckets before, as in
+    F.sum("x").  A key with too many rows for a task is so summed bucket by
+    bucket, and only a row for each bucket meets in one.
+    """
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, bucket).agg(*[c.alias(n) for n, c in totals.items()])
+    sums = sums.select(*[F.col(c).alias(f"__c_{c}") for c in (*by, bucket)], *[c.over(before).alias(n) for n, c in running.items()])
+    same = F.lit(True)
+    for c in (*by, bucket):
+        same = same & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
+    return rows.join(sums, same).drop(*[f"__c_{c}" for c in (*by, bucket)])
+
+
+def islands(rows: DataFrame, by: list[str], time: str, flag: str, bucket_seconds: int | None = None) -> DataFrame:
+    """Rows with `island`: a number for each run of rows for which flag is true; null where it is not.
+
+    bucket_seconds: part a key's rows by time, where one key may have too many for a task.
+    """
     on = F.coalesce(F.col(flag), F.lit(False))
-    begins = on & ~F.coalesce(F.lag(on).over(w), F.lit(False))
-    number = F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("island", F.when(on, number))
+    if bucket_seconds is None:
+        w = Window.partitionBy(*by).orderBy(time)
+        begins = on & ~F.coalesce(F.lag(on).over(w), F.lit(False))
+        number = F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("island", F.when(on, number))
+    rows = rows.withColumn("__b", F.floor(micros(F.col(time)) / F.lit(bucket_seconds * 1_000_000))).withColumn("__on", on)
+    w = Window.partitionBy(*by, "__b").orderBy(time)
+    rows = carried(rows, by, "__b", {"__t": F.max_by("__on", time)}, {"__was": F.last("__t")})
+    rows = rows.withColumn("__begins", (F.col("__on") & ~F.coalesce(F.lag("__on").over(w), "__was", F.lit(False))).cast("int"))
+    rows = carried(rows, by, "__b", {"__n": F.sum("__begins")}, {"__sofar": F.sum("__n")})
+    number = F.coalesce("__sofar", F.lit(0)) + F.sum("__begins").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("island", F.when(F.col("__on"), number)).drop("__b", "__on", "__was", "__begins", "__sofar")
 
 
 def passes(samples: DataFrame, by: list[str], time: str, flag: str, elevation: str, slant: str, step_s: float, least_s: float = 10.0) -> DataFrame:
@@ -79,21 +107,38 @@ def concurrent(intervals: DataFrame, by: list[str], start: str, end: str, item:
     number of intervals active at once.
     """
     keys = [F.col(c) for c in by]
+    day = F.floor(micros(F.col("t")) / F.lit(86_400_000_000)).alias("__b")
     events = intervals.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionAll(intervals.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    moments = events.groupBy(*by, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*by).orderBy("t")
-    stretch = moments.withColumn("active", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("t").over(w))
+    moments = events.groupBy(*by, "t").agg(F.sum("d").alias("d")).select("*", day)
+    # A sensor may have a third of all windows: sums run within its days, and the days' sums are carried on.
+    w = Window.partitionBy(*by, "__b").orderBy("t")
+    moments = carried(moments, by, "__b", {"__d": F.sum("d")}, {"__before": F.sum("__d")})
+    firsts = moments.groupBy(*by, "__b").agg(F.min("t").alias("__t"))
+    firsts = firsts.select(*[F.col(c).alias(f"__f_{c}") for c in (*by, "__b")], F.lead("__t").over(Window.partitionBy(*by).orderBy("__b")).alias("__next"))
+    same = F.lit(True)
+    for c in (*by, "__b"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
+    moments = moments.join(firsts, same)
+    active = F.coalesce("__before", F.lit(0)) + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    stretch = moments.withColumn("active", active).withColumn("to", F.coalesce(F.lead("t").over(w), "__next"))
     stretch = stretch.filter((F.col("active") >= 2) & F.col("to").isNotNull()).select(*by, F.col("t").alias("from"), "to")
     spans = intervals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(item).alias("__item"))
-    on = (F.col("__s") <= F.col("from")) & (F.col("__e") >= F.col("to"))
+    spans = spans.withColumn("__sb", F.explode(F.sequence(*[F.floor(micros(F.col(c)) / F.lit(3_600_000_000)) for c in ("__s", "__e")])))
+    stretch = stretch.withColumn("__h", F.floor(micros(F.col("from")) / F.lit(3_600_000_000)))
+    on = (F.col("__h") == F.col("__sb")) & (F.col("__s") <= F.col("from")) & (F.col("__e") >= F.col("to"))
     for c in by:
-        on = on & (F.col(c) == F.col(f"__{c}"))
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
     named = stretch.join(spans, on).groupBy(*by, "from", "to").agg(F.array_sort(F.collect_set("__item")).alias("items"))
-    named = named.filter(F.size("items") >= 2)
-    before = Window.partitionBy(*by).orderBy("from")
-    fresh = ~((F.lag("to").over(before) == F.col("from")) & (F.lag("items").over(before) == F.col("items")))
-    runs = named.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "__run", "items").agg(F.min("from").alias("from"), F.max("to").alias("to")).withColumn("n", F.size("items")).drop("__run")
+    named = named.filter(F.size("items") >= 2).withColumn("__b", F.floor(micros(F.col("from")) / F.lit(86_400_000_000)))
+    named = carried(named, by, "__b", {"__x": F.max_by(F.struct("to", "items"), "from")}, {"__last": F.last("__x")})
+    within = Window.partitionBy(*by, "__b").orderBy("from")
+    before = F.coalesce(F.lag(F.struct("to", "items")).over(within), F.col("__last"))
+    named = named.withColumn("__prev", before)
+    goes_on = F.coalesce((F.col("__prev.to") == F.col("from")) & (F.col("__prev.items") == F.col("items")), F.lit(False))
+    named = named.withColumn("__new", F.when(~goes_on, F.col("from")))
+    named = carried(named, by, "__b", {"__y": F.max("__new")}, {"__run0": F.max("__y")})
+    run = F.coalesce(F.max("__new").over(within.rowsBetween(Window.unboundedPreceding, 0)), "__run0")
+    return named.withColumn("__run", run).groupBy(*by, "__run", "items").agg(F.min("from").alias("from"), F.max("to").alias("to")).withColumn("n", F.size("items")).drop("__run")
 
 
 def segments(points: DataFrame, by: list[str], time: str, lon: str, jump: float = 180.0) -> DataFrame:

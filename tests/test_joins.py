@@ -49,10 +49,10 @@ def test_overlaps(spark, spans, width, strict):
 
 
 @FEW
-@given(flags=st.lists(st.booleans(), max_size=30))
-def test_islands(spark, flags):
+@given(flags=st.lists(st.booleans(), max_size=30), bucket=st.sampled_from([None, 1, 4]))
+def test_islands(spark, flags, bucket):
     rows = spark.createDataFrame([(1, T0 + timedelta(seconds=i), f) for i, f in enumerate(flags)], "k int, t timestamp_ntz, f boolean")
-    got = [r.island for r in windows.islands(rows, ["k"], "t", "f").orderBy("t").collect()]
+    got = [r.island for r in windows.islands(rows, ["k"], "t", "f", bucket).orderBy("t").collect()]
     want, n, last = [], 0, False
     for f in flags:
         n += f and not last
