@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import mapped_bytes, put_bytes
+from .arrays import mapped_bytes, pack, put_bytes, unpack
 from .components import components
 from .shared import cut, fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes
@@ -39,6 +39,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE = 5, 0.8, 16, 16384
 #: Fingerprints in a tile; bytes of text taken at once; pairs compared at once.
 TILE, BLOCK_BYTES, AT_ONCE = 8192, 2 << 20, 1 << 20
+#: Classes of shingles that are counted; of compared shingles, shards at least and about as many in one.
+CLASS_BITS, LEAST_SHARDS, SHARD_SHINGLES = 18, 48, 1_000_000
 
 
 def spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(least, "root").select("fingerprint", "component"), "fingerprint").select("id", "fingerprint", "component")
 
 
-# Near copies by similarity: fingerprints propose, the sets of shingles decide.
+# Near copies by similarity: fingerprints and rare shingles propose, the sets of shingles decide.
 
 
 def shingle_sets(words: Words, shingle: int) -> tuple[list[np.ndarray], list[int]]:
@@ -254,15 +256,72 @@ def verified_forest(left: np.ndarray, right: np.ndarray, radius: int, alike) ->
     return found
 
 
+def first_shingles(sets: list[np.ndarray], counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place, shingle): the rarest shingles of each set, of which two sets that are `least` similar share one.
+
+    The order is that of the counts of classes, then of the hash; any order that
+    all sets have in common would do.  Sets of n shingles that are `least`
+    similar share at least least * n, so not all of those can be among the last.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    owner = np.repeat(np.arange(len(sets)), size)
+    rank = (counts[flat >> np.uint32(32 - CLASS_BITS)].astype(np.uint64) << np.uint64(32)) | flat
+    order = np.lexsort((rank, owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    reach = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    mine = place < reach[owner]
+    return owner[mine], place[mine], flat[order[mine]]
+
+
+def apart_links(shingle: np.ndarray, place: np.ndarray, row: np.ndarray, size: np.ndarray, group: np.ndarray, least: float, alike) -> list[tuple[int, int]]:
+    """Links (rows a, b) that connect what all links across groups connect, among rows that share one of their first shingles.
+
+    Rows whose first common shingle stands too late to be similar, or whose
+    sizes differ too much, are no candidates (Xiao et al., 2008); all others
+    not yet connected are decided by alike(a, b).
+    """
+    sort = np.lexsort((row, shingle))
+    shingle, place, row = shingle[sort], place[sort], row[sort]
+    parent = np.unique(group, return_inverse=True)[1].reshape(-1)
+    parent = np.unique(parent, return_index=True)[1][parent]  # a row for each group
+    # Runs of a shingle that lie in one group have nothing to decide.
+    head = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
+    run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(shingle))))
+    mixed = np.minimum.reduceat(parent[row], head) < np.maximum.reduceat(parent[row], head) if len(head) else np.zeros(0, bool)
+    some = mixed[run]
+    run, place, row = run[some], place[some], row[some]
+    found, tested = [], set()
+    at, step = np.arange(len(run)), 1
+    while len(at):
+        at = at[at + step < len(run)]
+        at = at[run[at] == run[at + step]]
+        a, b, i, j = row[at], row[at + step], place[at], place[at + step]
+        shared = np.minimum(size[a] - i, size[b] - j)  # if this one is the first
+        near = (parent[a] != parent[b]) & (shared >= least / (1 + least) * (size[a] + size[b]) - 1e-9) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if parent[x] == parent[y] or (x, y) in tested:
+                continue
+            if len(tested) >= AT_ONCE:
+                tested.clear()  # what is forgotten is decided again
+            tested.add((x, y))
+            if alike(x, y):
+                found.append((x, y))
+                parent[parent == max(parent[x], parent[y])] = min(parent[x], parent[y])
+        step += 1
+    return found
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE) -> DataFrame:
     """(id, component) of every row: documents are linked whose sets of `shingle` words are `least` similar or more.
 
-    Candidates are texts whose SimHashes over these sets differ in `radius`
-    bits at most; at similarity 0.8 they differ in 10 +- 3, so 16 leaves out one
-    link in seventy there and next to none above 0.85 (unrelated texts differ
-    in 32 +- 4).  Each is decided by the sets themselves, 32 bits of a shingle's
-    hash, which workers map from the shared folder.  Texts of equal words are
-    one node.
+    Texts whose SimHashes over these sets differ in `radius` bits at most are
+    candidates first, which connects large groups at little cost and most of
+    the rest.  Then texts of different components that share one of their
+    rarest shingles are, and similar sets always do; so every link counts,
+    whatever the radius.  Each is decided by the sets themselves, 32 bits of a
+    shingle's hash, which workers map from the shared folder.  Texts of equal
+    words are one node.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -284,6 +343,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = cut(rows.mapInArrow(scan, "id long, node long, fingerprint long, file long, at int, n int"))
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fingerprint", "file", "at", "n")).alias("s")))
 
+    def set_at(file: int, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(mapped_bytes(uri, str(file)), np.uint32, n, 4 * at) if n else np.zeros(0, np.uint32)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
@@ -296,19 +358,70 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         prints_ = [np.asarray(s.field("fingerprint")).view(np.uint64) for s in sides]
         names = [np.asarray(s.field("node")) for s in sides]
         where = [list(zip(*(s.field(c).to_pylist() for c in ("file", "at", "n")), strict=True)) for s in sides]
-
-        def set_of(side: int, i: int) -> np.ndarray:
-            file, at, n = where[side][i]
-            return np.frombuffer(mapped_bytes(uri, str(file)), np.uint32, n, 4 * at) if n else np.zeros(0, np.uint32)
-
-        found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_of(0, i), set_of(1, j)) >= least)
+        found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_at(*where[0][i]), set_at(*where[1][j])) >= least)
         found = [(int(names[0][i]), int(names[1][j])) for i, j in found if names[0][i] != names[1][j]]
         return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
     pairs = _tile_pairs(nodes.select("s.fingerprint", "node", "s.file", "s.at", "s.n"), radius, tile, radius)
     roots = components(pairs.mapInArrow(compare, "u long, v long"))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "s.file", "s.at", "s.n"))
+
+    # What the fingerprints left apart: the components that similar sets connect.
+    placed = rooted.select("root", "file", "at", "n").repartition(_tasks(docs), "file")
+    shards = max(LEAST_SHARDS, -(-int((placed.agg(F.sum("n")).first()[0] or 0) * (1 - least)) // SHARD_SHINGLES))
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CLASS_BITS, np.int64)
+        for batch in batches:
+            for one in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                np.add.at(total, set_at(*one) >> np.uint32(32 - CLASS_BITS), 1)
+        mapped_bytes.cache_clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], ["counts"])
+
+    counts = np.zeros(1 << CLASS_BITS, np.int64)
+    for row in placed.mapInArrow(census, "counts binary").toLocalIterator():  # a fixed number for each task
+        counts += unpack(row.counts, np.int64)[0]
+    counts = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, file = (np.asarray(batch.column(c)) for c in (0, 1))
+            at, n = (np.asarray(batch.column(c)) for c in (2, 3))
+            sets = [set_at(*x) for x in zip(file.tolist(), at.tolist(), n.tolist(), strict=True)]
+            owner, place, first = first_shingles(sets, counts.value, least)
+            del sets
+            mapped_bytes.cache_clear()
+            shard = first % np.uint32(shards)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            out = []
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                part = order[bounds[k] : bounds[k + 1]]
+                who, row = np.unique(owner[part], return_inverse=True)
+                out.append((k, pack(first[part], place[part].astype(np.uint32), row.reshape(-1).astype(np.uint32), root[who], file[who], at[who], n[who])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["shard", "blob"])
+
+    def match(table: pa.Table) -> pa.Table:
+        parts = [unpack(x, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.int32) for x in table.column("blob").to_pylist()]
+        begin = np.cumsum([0, *(len(x[3]) for x in parts)])
+        first, place = (np.concatenate([x[c] for x in parts]) for c in (0, 1))
+        row = np.concatenate([x[2].astype(np.int64) + k for x, k in zip(parts, begin.tolist(), strict=False)])
+        root, file, at, n = (np.concatenate([x[c] for x in parts]) for c in (3, 4, 5, 6))
+        del parts
+
+        def set_of(i: int) -> np.ndarray:
+            return set_at(int(file[i]), int(at[i]), int(n[i]))
+
+        try:
+            found = apart_links(first, place.astype(np.int64), row, n.astype(np.int64), root, least, lambda i, j: similarity(set_of(i), set_of(j)) >= least)
+        finally:
+            mapped_bytes.cache_clear()
+        return pa.table([pa.array([int(root[x[c]]) for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+    more = components(placed.mapInArrow(deal, "shard long, blob binary").groupBy("shard").applyInArrow(match, "u long, v long"))
     remove_dir(uri)  # the links are decided and written
-    rooted = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = cut(rooted.join(more, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(rooted.join(smallest, "root").select("node", "component"), "node").select("id", "component")
 

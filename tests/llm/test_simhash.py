@@ -113,6 +113,36 @@ def test_similar_documents_equal_brute_force(spark):
     assert D.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(set(want.values()))
 
 
+def test_no_link_is_lost_to_the_radius(spark):
+    """Nine words against the first eight: 4 of 5 shingles; with the defaults one pair in twelve differs in more than 16 bits."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(300):
+        w = [f"w{rng.randrange(100000)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:8]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"radius": 1, "tile": 50}):
+        assert {r.id: r.component for r in D.similar_documents(docs, **options).collect()} == want
+
+
+def test_rare_shingles_connect_what_all_pairs_connect():
+    rng = random.Random(4)
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(1 << 32), rng.randint(1, 60)) + list(range(rng.choice([0, 0, 30])))
+        for _ in range(rng.randint(1, 5)):
+            sets.append(sorted({x for x in base if rng.random() > 0.08} | set(rng.sample(range(1 << 32), rng.randint(0, 3)))))
+    sets = [np.array(x, np.uint32) for x in sets if x]
+    counts = np.bincount(np.concatenate(sets) >> np.uint32(32 - D.CLASS_BITS), minlength=1 << D.CLASS_BITS)
+    row, place, first = D.first_shingles(sets, counts, 0.8)
+    size = np.array([len(x) for x in sets])
+    found = D.apart_links(first, place, row, size, np.arange(len(sets)), 0.8, lambda i, j: D.similarity(sets[i], sets[j]) >= 0.8)
+    nodes = list(range(len(sets)))
+    all_pairs = [(i, j) for i in nodes for j in range(i) if D.similarity(sets[i], sets[j]) >= 0.8]
+    assert all_pairs and groups(found, nodes) == groups(all_pairs, nodes)
+
+
 def test_similarity_of_sets():
     a = np.array([1, 3, 5, 7], np.uint64)
     none = np.zeros(0, np.uint64)
