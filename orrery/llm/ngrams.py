@@ -39,7 +39,7 @@ from .shared import fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, blocks, find_words, run_hashes, text_bytes
 
 #: Highest order; bytes of text in a block; tokens counted in a shard, about; shards at least.
-ORDER, BLOCK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 2, 6 << 20, 4_000_000, 48
+ORDER, BLOCK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 3, 6 << 20, 4_000_000, 48
 #: Hashes of the marks before and after a document; no word has them but by chance of 2**-64.
 OPEN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 

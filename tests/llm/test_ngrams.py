@@ -85,3 +85,10 @@ def test_without_training_text(corpus, nothing):
     assert {(r.score, r.base_score) for r in D.score(corpus, model).collect()} == {(0.0, 0.0)}
     assert D.score(nothing, model).count() == 0
     model.delete()
+
+
+def test_query_looks_at_two_words_before(spark):
+    """The registered model tells "a b c" from "x b c", whose last two words are the same."""
+    rows = [(k, t) for k, t in enumerate(["a b c", "x b d"] * 20)]
+    score = {r.doc_id: r.score for r in D.lm_query(spark.createDataFrame([*rows, (100, "a b c"), (101, "a b d")], "doc_id long, text string")).collect()}
+    assert score[100] > score[101] + 0.1
