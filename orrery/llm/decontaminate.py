@@ -10,8 +10,10 @@ blocks of about `block_bytes` of text and hold one at a time, however many
 there are.
 
 Defined results: null and empty texts (and items) have no words and match
-nothing; repeated rows are scored row by row; null item ids are left out of the
-list of items; other columns of either table are not looked at.
+nothing; repeated rows are scored row by row; items are distinct ids in order;
+items of a null id are left out, or with `nameless` matched like others and
+listed as one null (the registered query, as its SQL has it, and the pipeline);
+other columns of either table are not looked at.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        items = [x for x in items if x[0] is not None]
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int, nameless: bool = False):
+        items = [x for x in items if nameless or x[0] is not None]
         words = find_words(*text_bytes(pa.array([x[1] for x in items], pa.string())), LETTERS, fold=True)
         self.names = [x[0] for x in items]
         self.hashes = words.hashes()
@@ -104,6 +106,8 @@ def _report(words, tests: TestSuffixes) -> list[dict]:
     item = tests.item[suffix]
     for d, i in np.unique(np.stack([document, item], 1), axis=0).tolist():
         out[d]["items"].append(tests.names[i])
+    for x in out:
+        x["items"] = _distinct(x["items"])
     # A longer match is a run of windows that move on together in the item and in the document.
     sort = np.lexsort((word, word - suffix))
     w, s = word[sort], suffix[sort]
@@ -119,6 +123,11 @@ def _report(words, tests: TestSuffixes) -> list[dict]:
     return out
 
 
+def _distinct(items: list[str | None]) -> list[str | None]:
+    """In order, a null last."""
+    return sorted(set(items), key=lambda x: (x is None, x or ""))
+
+
 def _merge(old: dict, new: dict) -> dict:
     """Of the same document, against two blocks of the benchmark."""
     spans: list[dict] = []
@@ -128,10 +137,10 @@ def _merge(old: dict, new: dict) -> dict:
         else:
             spans.append(dict(x))
     longest = max((x["longest"] for x in (old, new) if x["longest"]), key=lambda x: x["n_words"], default=None)
-    return {"n_words": old["n_words"], "hits": spans, "items": sorted({*old["items"], *new["items"]}), "longest": longest}
+    return {"n_words": old["n_words"], "hits": spans, "items": _distinct(old["items"] + new["items"]), "longest": longest}
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestSuffixes]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int, nameless: bool = False) -> Iterator[TestSuffixes]:
     """The whole benchmark, in blocks; read row by row, so the driver holds one block."""
     held, size, some = [], 0, False
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
@@ -139,10 +148,10 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
         held.append((item, text))
         size += len(text or "")
         if size >= block_bytes:
-            yield TestSuffixes(held, window)
+            yield TestSuffixes(held, window, nameless)
             held, size, some = [], 0, True
     if held or not some:
-        yield TestSuffixes(held, window)
+        yield TestSuffixes(held, window, nameless)
 
 
 def _sent(session: SparkSession, parts: Iterator[TestSuffixes]) -> tuple[int, Callable[[int], TestSuffixes]]:
@@ -170,17 +179,18 @@ def _loaded(uri: str, k: int) -> TestSuffixes:
         return pickle.loads(f.read())  # noqa: S301  our own file
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """A row for each document: its `keep` columns (id_col if not given) and the columns of RESULT.
 
     hits: spans of words inside a matched window.  items: the ids, as strings,
     of items with such a window.  longest: the longest verbatim match of at
     least a window.  window: words of one (an item of fewer is one window).
+    nameless: match items of a null id, too.
     """
     session = docs.sparkSession
     small_batches(session)
     keep = [id_col] if keep is None else keep
-    count, load = _sent(session, benchmark_blocks(benchmark, item_col, item_text, window, block_bytes))
+    count, load = _sent(session, benchmark_blocks(benchmark, item_col, item_text, window, block_bytes, nameless))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("body"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +212,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     return found.filter(F.size("hits") == 0).select("own.*")
 
 
-def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontamination_query(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The digest of `find_contamination` for each document."""
-    found = find_contamination(docs, benchmark)
+    found = find_contamination(docs, benchmark, **options)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["length"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

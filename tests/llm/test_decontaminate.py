@@ -79,6 +79,29 @@ def test_equals_brute_force(spark, corpus, options):
     assert {r.doc_id for r in clean.collect()} & set(want) == {k for k, v in want.items() if not v[1]}
 
 
+@pytest.mark.parametrize("block_bytes", [D.BLOCK_BYTES, 10])
+def test_items_without_an_id_and_repeated_ids(spark, tmp_path, monkeypatch, block_bytes):
+    """The registered query against its SQL, whatever the number of blocks; the pipeline's stage drops the same documents."""
+    import corpus_pipeline
+    import duckdb
+
+    from orrery.llm import registry
+
+    monkeypatch.setattr(D.find_contamination, "__defaults__", tuple(block_bytes if x == D.BLOCK_BYTES else x for x in D.find_contamination.__defaults__))
+    docs = spark.createDataFrame([(1, "a b c x y z"), (2, "q r s and p"), (3, "nothing"), (4, "a b c, q r s"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("x", "a b c"), ("x", "x y z"), (None, "q r s"), (None, "and p"), ("b", "c x")], "item_id string, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(D.SQL).fetchall())
+    got = registry.QUERIES["op2_decontaminate"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert [r[5] for r in want] == [True, True, False, True, False]
+    assert {r.doc_id for r in corpus_pipeline.remove_contaminated(spark, docs, str(tmp_path)).collect()} == {3, 5}
+
+
 def test_empty_tables(spark, corpus, nothing):
     bench = spark.createDataFrame([], "item_id int, text string")
     assert D.find_contamination(nothing, bench).count() == 0
