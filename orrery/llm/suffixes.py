@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
-_PER_KEY = 21  # bits of a word's number in the first sort
+_KEY_BITS = 63  # of the numbers that the first sort takes at once
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of `ids` (all below 2**21) ordered by the `depth` values that follow them at least.
+    """Positions of `ids` (not negative) ordered by the `depth` values that follow them at least.
 
-    The first sort takes three values at once; each later one doubles that, and
+    The first sort takes as many values at once as one key holds, three at most
+    (three below 2**21, two below 2**31); each later one doubles that, and
     only touches positions that are still tied, so text without long repeats
     costs little more than the first sort.  Past the end counts as -1.
     """
     n = len(ids)
     wide = np.zeros(n + 2, np.int64)
     wide[:n] = ids + 1
-    key = (wide[:n] << (2 * _PER_KEY)) | (wide[1 : n + 1] << _PER_KEY) | wide[2:]
+    bits = max(1, int(wide.max()).bit_length())
+    done = max(1, min(3, _KEY_BITS // bits))
+    key = wide[:n].copy()
+    for i in range(1, done):
+        key = (key << bits) | wide[i : n + i]
     order = np.argsort(key)
     sorted_key = key[order]
     del key
@@ -25,7 +30,6 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     head[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    done = 3
     while done < depth:
         tied = ~head
         tied[:-1] |= ~head[1:]
