@@ -194,12 +194,12 @@ def _cut(block: Block, places: list[np.ndarray]) -> np.ndarray:
     chosen = np.zeros(len(block.words.starts) + 1, bool)
     for x in places:
         chosen[x] = True
-    # A place stands for the equal windows of its document, too.
+    # A place stands for the equal windows of its id, too, whichever row has them.
     pick = chosen[at]
     if pick.any():
         wanted = np.unique(runs[pick])
         some = np.flatnonzero(np.isin(runs, wanted))
-        code = np.stack([document[some].astype(np.uint64), runs[some]], 1)
+        code = np.stack([block.ids[document[some]].astype(np.int64).view(np.uint64), runs[some]], 1)
         hit = np.unique(code[pick[some]], axis=0)
         if len(hit) < len(some):
             both = np.concatenate([hit, code])

@@ -46,6 +46,14 @@ def test_equals_brute_force(corpus, n, options):
     assert left == sum(1 for _, w, g, _ in brute(rows, n) if not g or g < w)
 
 
+def test_repeated_row_loses_what_a_smaller_document_of_another_block_has(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(9, f"head {passage} tail"), (9, f"head {passage} tail"), (1, passage + " z" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = D.remove_repeats(docs, digest=True, block_bytes=300).collect()
+    assert sorted((r.id, r.n_words, r.n_removed) for r in got) == sorted((k, w, g) for k, w, g, _ in brute(rows, 13))
+
+
 def test_deeper_prefixes_are_used(corpus):
     split = D.prefixes(corpus.selectExpr("doc_id AS id", "coalesce(text, '') AS body"), 3, 20)
     assert split.groups >= D.LEAST_GROUPS and split.heavy
