@@ -83,3 +83,9 @@ def test_rows_of_all_kinds(spark, pages, field):
     got = D.extract(rows, field).collect()
     assert len(got) == 5 and sorted(len(r.text) for r in got)[:4] == [0, 0, 0, 0] and max(len(r.text) for r in got) > 500_000
     assert D.extraction_query(rows.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes_are_no_text(quote):
+    inside = "<b>inner</b> > " * 1000
+    assert [b.text for b in blocks_of(f"<p data-x={quote}{inside}{quote}>outer</p><p>next</p>")] == ["outer", "next"]
