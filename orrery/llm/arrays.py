@@ -1,10 +1,18 @@
-"""Compressed columns for shuffles, and sorted hash arrays that workers map into memory."""
+"""Compressed columns for shuffles, and sorted hash arrays that workers map into memory.
+
+A sorted hash array holds keys of 64 bits and a few counts for each.  A
+directory over the first bits of the keys (a cell for about eight keys) stands
+in for these bits, and the 32 bits after them are kept: with n keys in a file
+two keys are taken as equal with a chance of about 8 / 2**32 a search, besides
+the bits that choose the file.  Rows of counts are numbered: one byte names one
+of the 255 commonest rows of the file, or says that the row is in a list of
+exceptions.
+"""
 
 from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +20,7 @@ import pyarrow.fs as pafs
 import zstandard
 
 from .shared import put
+from .words import mix
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -57,57 +66,110 @@ def sum_by(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [key[at], *(np.add.reduceat(v[order], at, dtype=v.dtype) for v in values)]
 
 
-def write_shard(uri: str, table: str, shard: int, *columns: np.ndarray) -> None:
-    head = np.array([len(columns[0]), len(columns)], np.int64).tobytes()
-    put(uri, f"{table}_{shard:06d}.bin", head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+#: Keys in a cell of the directory, about; bits of a key kept beside it; rows of counts that have a number of one byte.
+CELL, KEPT, NUMBERED = 8, 32, 255
+
 
+def _rows_numbered(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """(numbers of one byte, the rows they name, where the exceptions are, their rows)."""
+    rows = np.stack([c.astype(np.uint64) for c in counts], 1)
+    name = rows[:, 0].copy()
+    for i in range(1, rows.shape[1]):
+        name = mix(name) + rows[:, i]
+    _, at, back, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-n, kind="stable")[:NUMBERED]
+    number = np.full(len(at), NUMBERED, np.uint8)
+    number[common] = np.arange(len(common))
+    out = number[back.reshape(-1)]
+    odd = np.flatnonzero(out == NUMBERED)
+    return [out, rows[at[common]].reshape(-1), odd.astype(np.uint32), rows[odd].reshape(-1)]
 
-@lru_cache(maxsize=None)
-def _local(uri: str, name: str) -> str | None:
-    """A path that can be mapped: the shared file itself, or a copy where the shared folder is no file system here."""
+
+def write_table(uri: str, name: str, key: np.ndarray, counts: list[np.ndarray], wide: np.ndarray | None = None) -> None:
+    """A sorted hash array of distinct keys; wide: one more column, kept as it is."""
+    order = np.argsort(key)
+    key = key[order]
+    bits = min(64 - KEPT, (len(key) // CELL).bit_length())
+    cell = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+    directory = np.searchsorted(cell, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    kept = ((key << np.uint64(bits)) >> np.uint64(64 - KEPT)).astype(np.uint32)
+    wide = np.zeros(0, np.uint64) if wide is None else wide[order]
+    parts = [directory, kept, *_rows_numbered([c[order] for c in counts]), wide]
+    head = np.array([bits, len(counts), *(x for p in parts for x in (len(p), p.dtype.itemsize))], np.int64)
+    put(uri, name, b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in (head, *parts)))
+
+
+@lru_cache(maxsize=256)
+def _mapped(uri: str, name: str) -> mmap.mmap | bytes | None:
+    """A shared file, mapped; in memory where the shared folder is no file system here; none if there is no such file."""
     fs, path = pafs.FileSystem.from_uri(uri)
+    path = f"{path}/{name}"
     if isinstance(fs, pafs.LocalFileSystem):
-        return f"{path}/{name}" if os.path.exists(f"{path}/{name}") else None
-    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None
-    to = os.path.join(tempfile.mkdtemp(prefix="orrery_map"), name)
-    pafs.copy_files(f"{path}/{name}", to, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-    return to
-
-
-@lru_cache(maxsize=None)
-def _mapped(uri: str, table: str, shard: int, kinds: tuple) -> list[np.ndarray]:
-    path = _local(uri, f"{table}_{shard:06d}.bin")
-    if path is None:
-        return [np.zeros(0, k) for k in kinds]
-    with open(path, "rb") as f:
-        view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    n, at, out = int(np.frombuffer(view, np.int64, 1)[0]), 16, []
-    for kind in kinds:
-        out.append(np.frombuffer(view, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
 
 
-def lookup(uri: str, table: str, shards: int, query: np.ndarray, *kinds: type) -> list[np.ndarray]:
-    """The columns of the rows of these keys, 0 where there is none."""
-    order = np.argsort(query)
-    asked = query[order]
-    bounds = np.searchsorted(shard_of(asked, shards), np.arange(shards + 1))
-    out = [np.zeros(len(query), k) for k in kinds]
-    for s in range(shards):
-        mine = asked[bounds[s] : bounds[s + 1]]
-        if not len(mine):
-            continue
-        keys, *columns = _mapped(uri, table, s, (np.uint64, *kinds))
-        if not len(keys):
+def forget() -> None:
+    """Unmap all files: one that is mapped keeps its space after it is removed."""
+    _mapped.cache_clear()
+    _table.cache_clear()
+
+
+@lru_cache(maxsize=256)
+def _table(uri: str, name: str) -> tuple | None:
+    view = _mapped(uri, name)
+    if view is None:
+        return None
+    bits, width = np.frombuffer(view, np.int64, 2).tolist()
+    shapes = np.frombuffer(view, np.int64, 14, 16).reshape(7, 2).tolist()
+    at, out = 8 * 16, []
+    for n, size in shapes:
+        out.append(np.frombuffer(view, {1: np.uint8, 4: np.uint32, 8: np.uint64}[size], n, at))
+        at += -(-n * size // 8) * 8
+    return bits, width, *out
+
+
+def lookup(uri: str, table: str, shard: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, counts, wide) of keys in the tables `table`_0, `table`_1 ... of their shards; counts has a row for each key, 0 where it is not there."""
+    found, counts, wide = np.zeros(len(key), bool), np.zeros((len(key), width), np.uint64), np.zeros(len(key), np.uint64)
+    if not len(key):
+        return found, counts, wide
+    order = np.argsort(key)
+    order = order[np.argsort(shard[order].astype(np.uint16) if shard.max() < 1 << 16 else shard[order], kind="stable")]
+    shards, first = np.unique(shard[order], return_index=True)
+    for s, a, b in zip(shards.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        held = _table(uri, f"{table}_{s:06d}")
+        if held is None or not len(held[3]):
             continue
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        found = keys[at] == mine
-        where = order[bounds[s] : bounds[s + 1]][found]
-        for o, c in zip(out, columns, strict=True):
-            o[where] = c[at[found]]
-    return out
+        bits, _, directory, kept, number, rows, odd, odd_rows, more = held
+        where = order[a:b]
+        asked = key[where]
+        cell = (asked >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(asked), np.int64)
+        want = ((asked << np.uint64(bits)) >> np.uint64(64 - KEPT)).astype(np.uint32)
+        lo, hi = directory[cell].astype(np.int64), directory[cell + 1].astype(np.int64)
+        end = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = open_ & (kept[np.minimum(mid, len(kept) - 1)] < want)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
+        hit = np.flatnonzero((lo < end) & (kept[np.minimum(lo, len(kept) - 1)] == want))
+        lo, where = lo[hit], where[hit]
+        found[where] = True
+        n = number[lo].astype(np.int64)
+        plain = n < NUMBERED
+        counts[where[plain]] = rows.reshape(-1, width)[n[plain]]
+        if not plain.all():
+            counts[where[~plain]] = odd_rows.reshape(-1, width)[np.searchsorted(odd, lo[~plain])]
+        if len(more):
+            wide[where] = more[lo]
+    return found, counts, wide
 
 
 def put_bytes(uri: str, name: str, data: bytes) -> None:
@@ -116,7 +178,5 @@ def put_bytes(uri: str, name: str, data: bytes) -> None:
         put(uri, name, data)
 
 
-@lru_cache(maxsize=4096)
-def mapped_bytes(uri: str, name: str) -> mmap.mmap:
-    with open(_local(uri, name), "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+def mapped_bytes(uri: str, name: str) -> mmap.mmap | bytes:
+    return _mapped(uri, name)

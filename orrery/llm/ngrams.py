@@ -1,12 +1,18 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
-Counting.  A task sums the n-grams of a block of documents and sends each shard
-(a range of 64-bit hashes, so a frequent n-gram is one row of each block and no
-shard is larger than others) its rows as one compressed array.  A shard merges
-them, writes a sorted hash array to the shared folder, and sends on what the
-next lower order and the contexts need.  So each order is one shuffle of
-pre-aggregated arrays and the model never passes through the driver, which gets
-the few sums that the discounts are made of.
+Counting.  First the words: each gets a number, small for frequent words, in a
+sorted hash array in the shared folder.  From then on an n-gram is a row of
+numbers.  A task counts the n-grams of its blocks and sends each shard its rows,
+sorted and compressed.  A shard writes a sorted hash array and sends on what the
+next lower order needs; so each order is one shuffle of pre-aggregated rows,
+whose files are removed when the order is done, and the model never passes
+through the driver, which gets the few sums that the discounts are made of.
+
+Shards.  An n-gram goes to the shard of its context (all its words but the
+last), so that the sums over a context are made where its n-grams meet.  A
+context of frequent words only may have a third of all n-grams: such n-grams are
+spread by all their words, and the sums of their context, one row from each
+shard, meet in the next shuffle.
 
 Scoring.  Workers map the sorted arrays into memory and look up all n-grams of
 a block at once by binary search; documents are not shuffled.
@@ -34,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import lookup, pack, shard_of, steps, sum_by, unpack, write_shard
-from .shared import fresh_dir, remove_dir, small_batches
-from .words import UNSPACED, blocks, find_words, run_hashes, text_bytes
+from .arrays import forget, lookup, pack, shard_of, steps, sum_by, unpack, write_table
+from .shared import fresh_dir, landed, remove_dir, small_batches, tidy
+from .words import UNSPACED, blocks, find_words, mix, row_hashes, run_hashes, text_bytes
 
 #: Highest order; bytes of text in a block; tokens counted in a shard, about; shards at least.
 ORDER, BLOCK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 3, 6 << 20, 4_000_000, 48
+#: Rows for each shard that a task gathers before it sends, and rows it holds at most.
+SEND_ROWS, HELD_ROWS = 2048, 3_000_000
 #: Hashes of the marks before and after a document; no word has them but by chance of 2**-64.
 OPEN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -57,13 +65,44 @@ def stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, np.flatnonzero(real), words.counts + 1
 
 
+def _table_name(table: str, shard: int) -> str:
+    return f"{table}_{shard:06d}"
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of words (0 opens a document), and which words are frequent."""
+
+    uri: str
+    shards: int
+    frequent: np.ndarray  # for each number below its length
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, count, number) of word hashes."""
+        known, counts, number = lookup(self.uri, "words", shard_of(hashes, self.shards), hashes, 1)
+        return known, counts[:, 0], number
+
+    def spread(self, words: list[np.ndarray]) -> np.ndarray:
+        """Whether n-grams of these contexts (columns of numbers) are dealt by all their words."""
+        out = np.ones(len(words[0]), bool)
+        for w in words:
+            out &= self.frequent[np.minimum(w, len(self.frequent) - 1)]
+        return out
+
+    def route(self, words: list[np.ndarray]) -> np.ndarray:
+        """The shard of each n-gram."""
+        names = [mix(w) for w in words]
+        if len(words) == 1:
+            return shard_of(row_hashes(names), self.shards)
+        return shard_of(np.where(self.spread(words[:-1]), row_hashes(names), row_hashes(names[:-1])), self.shards)
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the sums over them.  counts[k][j]: n-grams of order k with count j (4: n/a above)."""
 
-    uri: str
+    words: Vocabulary
     order: int
-    shards: int
     counts: dict[int, list[int]]
     kinds: int  # sum of the counts of the lowest order
     tokens: int
@@ -79,107 +118,175 @@ class Model:
         return np.array([0.0, *(min(max(d, 0.05), j + 0.95) for j, d in enumerate(raw))])
 
     def delete(self) -> None:
-        remove_dir(self.uri)
+        forget()
+        remove_dir(self.words.uri)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each text (log10)."""
-        words, at, count = stream(texts, self.order)
+        uri, shards = self.words.uri, self.words.shards
+        hashes, at, count = stream(texts, self.order)
         first = np.cumsum(count) - count
-        kinds, back = np.unique(words[at], return_inverse=True)
-        one = run_hashes(kinds, 1)
-        seen = lookup(self.uri, "raw", self.shards, one, np.uint64)[0]
-        base = np.log10((seen + 1.0) / (self.tokens + self.vocabulary + 1.0))[back]
-        c = lookup(self.uri, "grams1", self.shards, one, np.uint64)[0].astype(np.int64)
+        kinds, back = np.unique(hashes, return_inverse=True)
+        known, seen, number = self.words.of(kinds)
+        opens = kinds == OPEN
+        number[opens] = 0
+        name = np.where(known | opens, mix(number), kinds)  # an unknown word has its own hash, which no table has
+        rare = np.where(known | opens, number, np.uint64(2**63))
+        base = np.log10((seen + 1.0) / (self.tokens + self.vocabulary + 1.0))
+        own = row_hashes([name])
+        c = lookup(uri, "grams1", shard_of(own, shards), own, 1)[1][:, 0].astype(np.int64)
         d = self.discounts(1)
         p = np.full(len(kinds), 1.0 / (self.vocabulary + 1.0))
         if self.kinds:
             n = self.counts[1]
             rest = d[1] * n[0] + d[2] * n[1] + d[3] * (self.vocabulary - n[0] - n[1])
             p = np.maximum(c - d[np.minimum(c, 3)], 0) / self.kinds + rest / self.kinds * p
-        p = p[back]
+        back = back.reshape(-1)
+        words, often = name[back], self.words.spread([rare])[back]
+        p, back = p[back[at]], back[at]
         for k in range(2, self.order + 1):
-            context = run_hashes(words, k - 1)[at - k + 1]
-            total, n1, n2, n3 = lookup(self.uri, f"context{k}", self.shards, context, np.uint64, np.uint32, np.uint32, np.uint32)
-            c = lookup(self.uri, f"grams{k}", self.shards, run_hashes(words, k)[at - k + 1], np.uint32)[0].astype(np.int64)
+            from_ = at - k + 1
+            context, full = run_hashes(words, k - 1)[from_], run_hashes(words, k)[from_]
+            spread = np.ones(len(at), bool)
+            for i in range(k - 1):
+                spread &= often[from_ + i]
+            sums = np.zeros((len(at), 4), np.uint64)
+            for table, some in ((f"context{k}", ~spread), (f"spread{k}", spread)):
+                sums[some] = lookup(uri, table, shard_of(context[some], shards), context[some], 4)[1]
+            c = lookup(uri, f"grams{k}", shard_of(np.where(spread, full, context), shards), full, 1)[1][:, 0].astype(np.int64)
             d = self.discounts(k)
-            known = total > 0
-            total = np.maximum(total, 1).astype(float)
-            p = np.where(known, np.maximum(c - d[np.minimum(c, 3)], 0) / total + (d[1] * n1 + d[2] * n2 + d[3] * n3) / total * p, p)
+            sums = sums.astype(float)
+            total = np.maximum(sums[:, 0], 1)
+            p = np.where(sums[:, 0] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + (sums[:, 1:] @ d[1:]) / total * p, p)
         total = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
-        return count, total((seen > 0)[back].astype(np.int64)), total(base), total(np.log10(p))
+        return count, total((seen > 0)[back].astype(np.int64)), total(base[back]), total(np.log10(p))
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, ascending, and the sums of their counts."""
+    if not len(counts):
+        return columns, counts
+    bits = [max(1, int(c.max()).bit_length()) for c in columns]
+    if sum(bits) <= 64:
+        key = columns[0].copy()
+        for c, b in zip(columns[1:], bits[1:], strict=True):
+            key = (key << np.uint64(b)) | c
+        key, counts = sum_by(key, counts)
+        out = []
+        for b in reversed(bits):
+            out.append(key & np.uint64((1 << b) - 1) if b < 64 else key)
+            key = key >> np.uint64(b) if b < 64 else key
+        return out[::-1], counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    head = np.ones(len(order), bool)
+    head[1:] = False
+    for c in columns:
+        head[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(head)
+    return [c[at] for c in columns], np.add.reduceat(counts[order], at)
 
 
-def _send(kind: str, shards: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-    """A blob for each shard that has rows; the rows are sorted by the first column within it."""
-    order = np.argsort(columns[0])
-    shard = shard_of(key[order], shards)
-    order = order[np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-    for s in np.flatnonzero(np.diff(bounds)).tolist():
-        part = order[bounds[s] : bounds[s + 1]]
-        yield kind, s, pack(steps(columns[0][part]), *(c[part] for c in columns[1:]))
+def _counted(words: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams that end at the places `at`, and how often each does."""
+    kinds, back = np.unique(words, return_inverse=True)
+    back = back.reshape(-1).astype(np.uint64)
+    columns, counts = _distinct([back[at - order + 1 + i] for i in range(order)], np.ones(len(at), np.uint64))
+    return [kinds[c.astype(np.int64)] for c in columns], counts
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """The same numbers in four bytes, if they fit."""
+    return x.astype(np.uint32) if not len(x) or int(x.max()) < 1 << 32 else x
 
 
-def _send_grams(k: int, shards: int, key: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-    """N-grams as `_send` has them; each blob has its words once, and their numbers in ascending order."""
-    if k == 1:
-        yield from _send("grams1", shards, key, *words, counts)
-        return
-    shard = shard_of(key, shards)
+def _send(kind: str, shards: int, shard: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[str, int, bytes]]:
+    """A blob for each shard that has rows; rows ascend, and the first column is sent as steps."""
     order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         part = order[bounds[s] : bounds[s + 1]]
-        names, number = np.unique(np.concatenate([w[part] for w in words]), return_inverse=True)
-        number = number.astype(np.uint32).reshape(k, -1)
-        sort = np.lexsort(number[::-1])
-        yield f"grams{k}", s, pack(steps(names), steps(number[0][sort]), *(x[sort] for x in number[1:]), counts[part][sort])
-
-
-def _receive_grams(k: int, blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    if k == 1:
-        parts = [unpack(b, np.uint64, np.uint64) for b in blobs]
-        return [np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])], np.concatenate([p[1] for p in parts])
-    words: list[list[np.ndarray]] = [[] for _ in range(k)]
-    counts = []
+        first, *rest = (_least(c[part]) for c in columns)
+        yield kind, s, pack(np.array([x.dtype.itemsize for x in (first, *rest)], np.uint8), steps(first), *rest)
+
+
+def _receive(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    """The n columns of the rows of all blobs."""
+    parts = []
     for blob in blobs:
-        names, *number, n = unpack(blob, np.uint64, *[np.uint32] * k, np.uint64)
-        names = np.cumsum(names, dtype=np.uint64)
-        number[0] = np.cumsum(number[0], dtype=np.uint32)
-        for held, x in zip(words, number, strict=True):
-            held.append(names[x])
-        counts.append(n)
-    return [np.concatenate(w) for w in words], np.concatenate(counts)
-
-
-_SENT = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("blob", pa.binary())])
-
-
-def _rows(sent: list[tuple[str, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([x[i] for x in sent], t) for i, t in enumerate(_SENT.types)], schema=_SENT)
-
-
-def _project(k: int, shards: int, words: list[np.ndarray], count: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-    """What the n-grams of order k (distinct here) add to order k - 1 and to its contexts."""
-    context = _hash(words[:-1])
-    ones, twos = (count == 1).astype(np.uint32), (count == 2).astype(np.uint32)
-    key, *sums = sum_by(context, count, ones, twos, (count > 2).astype(np.uint32))
-    yield from _send(f"context{k}", shards, key, key, *sums)
-    lower = words[1:]
-    add = np.where(lower[0] == OPEN, count, 1).astype(np.uint64) if k > 2 else np.ones(len(count), np.uint64)
-    name, code = _hash(lower), np.arange(len(count))
-    order = np.argsort(name)
-    head = np.ones(len(name), bool)
-    head[1:] = name[order][1:] != name[order][:-1]
-    at = np.flatnonzero(head)
-    pick = code[order][at]
-    yield from _send_grams(k - 1, shards, name[pick], [w[pick] for w in lower], np.add.reduceat(add[order], at) if len(at) else add)
+        sizes = unpack(blob, np.uint8)[0].tolist()
+        _, first, *rest = unpack(blob, np.uint8, *({4: np.uint32, 8: np.uint64}[x] for x in sizes))
+        parts.append([np.cumsum(first, dtype=first.dtype), *rest])
+    return [np.concatenate([p[i].astype(np.uint64) for p in parts]) for i in range(n)]
+
+
+_SENT = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_KIND = "kind string, shard long, blob binary, sums array<long>"
+
+
+def _rows(sent: list[tuple[str, int, bytes]], sums: list[tuple[str, list[int]]] = ()) -> pa.Table:
+    rows = [(k, s, b, None) for k, s, b in sent] + [(k, 0, None, n) for k, n in sums]
+    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(_SENT.types)], schema=_SENT)
+
+
+class Gathered:
+    """Rows with counts that a task holds until each shard's part is worth a blob."""
+
+    def __init__(self, shards: int):
+        self.most = min(HELD_ROWS, SEND_ROWS * shards)
+        self.parts: list[tuple[list[np.ndarray], np.ndarray]] = []
+        self.size = 0
+
+    def add(self, columns: list[np.ndarray], counts: np.ndarray) -> bool:
+        """Whether it is time to take them."""
+        self.parts.append((columns, counts))
+        self.size += len(counts)
+        return self.size >= self.most
+
+    def take(self) -> tuple[list[np.ndarray], np.ndarray] | None:
+        parts, self.parts, self.size = self.parts, [], 0
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        return _distinct([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
 
 
-def _hash(columns: list[np.ndarray]) -> np.ndarray:
-    """The run hash of each row of words."""
-    flat = np.stack(columns, 1).reshape(-1)
-    return run_hashes(flat, len(columns))[:: len(columns)] if len(flat) else flat
+def _number_words(rows: DataFrame, uri: str, shards: int, least: int) -> tuple[Vocabulary, int, int]:
+    """The vocabulary, its size, and the tokens; words that occur more than `least` times are frequent.
+
+    A shard numbers its words by falling count; numbers of all shards alternate.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gathered(shards)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if (taken := held.take()) is not None:
+                (key,), n = taken
+                yield from _rows(list(_send("words", shards, shard_of(key, shards), [key, n]))).to_batches()
+
+        for block in blocks(batches, "body", BLOCK_BYTES):
+            key, n = np.unique(stream(block.column(0), 1)[0], return_counts=True)
+            if held.add([key], n.astype(np.uint64)):
+                yield from send()
+        yield from send()
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        key, n = sum_by(*_receive(table.column("blob").to_pylist(), 2))
+        rank = np.empty(len(n), np.uint64)
+        rank[np.lexsort((key, -n.astype(np.int64)))] = np.arange(len(n), dtype=np.uint64)
+        number = rank * np.uint64(shards) + np.uint64(shard + 1)
+        write_table(uri, _table_name("words", shard), key, [n], _least(number))
+        return _rows([], [("words", [len(n), int(n.sum())]), ("frequent", np.sort(number[n > least]).astype(np.int64).tolist())])
+
+    with tidy(rows.sparkSession):
+        merged = rows.mapInArrow(count, _KIND).groupBy("shard").applyInArrow(merge, _KIND)
+        size, tokens, frequent = merged.agg(  # the few words that are frequent, and two sums
+            F.sum(F.when(F.col("kind") == "words", F.col("sums")[0])), F.sum(F.when(F.col("kind") == "words", F.col("sums")[1])), F.flatten(F.collect_list(F.when(F.col("kind") == "frequent", F.col("sums"))))
+        ).first()
+    often = np.zeros(max([0, *(frequent or [])]) + 2, bool)
+    often[[0, *(frequent or [])]] = True  # that of the opening mark, too
+    return Vocabulary(uri, shards, often), size or 0, tokens or 0
 
 
 def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
@@ -190,74 +297,83 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
     rows = texts.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // (6 * shard_tokens)))
+    words, vocabulary, tokens = _number_words(rows, uri, shards, size // (6 * 4 * shards))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "body", BLOCK_BYTES):
-            words, at, _ = stream(block.column(0), order)
-            name = run_hashes(words, order)[at - order + 1]
-            sort = np.argsort(name)
-            head = np.ones(len(name), bool)
-            head[1:] = name[sort][1:] != name[sort][:-1]
-            head = np.flatnonzero(head)
-            pick = at[sort[head]]
-            counts = np.diff(np.append(head, len(name))).astype(np.uint64)
-            sent = list(_send_grams(order, shards, name[sort[head]], [words[pick - order + 1 + i] for i in range(order)], counts))
-            key, n = sum_by(run_hashes(words[at], 1), np.ones(len(at), np.uint64))
-            sent += _send("raw", shards, key, key, n)
-            yield from _rows(sent).to_batches()
+        held = Gathered(shards)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if (taken := held.take()) is not None:
+                yield from _rows(list(_send(f"grams{order}", shards, words.route(taken[0]), [*taken[0], taken[1]]))).to_batches()
+
+        try:
+            for block in blocks(batches, "body", BLOCK_BYTES):
+                hashes, at, _ = stream(block.column(0), order)
+                kinds, back = np.unique(hashes, return_inverse=True)
+                number = words.of(kinds)[2]  # 0 for the opening mark, as all words are known
+                if held.add(*_counted(number[back.reshape(-1)], at, order)):
+                    yield from send()
+            yield from send()
+        finally:
+            forget()
 
     def merge(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
         blobs = table.column("blob").to_pylist()
-        if kind.startswith("sum"):
-            return table
-        if kind == "raw":
-            parts = [unpack(b, np.uint64, np.uint64) for b in blobs]
-            key, n = sum_by(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]))
-            write_shard(uri, "raw", shard, key, n)
-            return _rows([("sum_raw", 0, pack(np.array([len(n), int(n.sum())], np.int64)))])
-        if kind.startswith("context"):
-            parts = [unpack(b, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32) for b in blobs]
-            out = sum_by(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(1, 5)))
-            write_shard(uri, kind, shard, *out[:2], *(x.astype(np.uint32) for x in out[2:]))
+        if kind.startswith("spread"):
+            key, *sums = sum_by(*_receive(blobs, 5))
+            write_table(uri, _table_name(kind, shard), key, sums)
             return _rows([])
         k = int(kind.removeprefix("grams"))
-        words, counts = _receive_grams(k, blobs)
-        name = _hash(words)
-        sort = np.argsort(name)
-        name = name[sort]
-        head = np.ones(len(name), bool)
-        head[1:] = name[1:] != name[:-1]
-        head = np.flatnonzero(head)
-        counts = np.add.reduceat(counts[sort], head)
-        write_shard(uri, kind, shard, name[head], counts.astype(np.uint32 if k > 1 else np.uint64))
-        words = [w[sort[head]] for w in words]
-        of = [int((counts == j).sum()) for j in (1, 2, 3, 4)]
-        sent = [(f"sum_{k}", 0, pack(np.array([*of, int(counts.sum())], np.int64)))]
-        if k > 1:
-            sent += _project(k, shards, words, counts)
-        return _rows(sent)
-
-    kind = "kind string, shard long, blob binary"
-    sent = rows.mapInArrow(count, kind)
-    for _ in range(order):
-        sent = sent.groupBy("kind", "shard").applyInArrow(merge, kind)
-    sums: dict[str, np.ndarray] = {}
-    for row in sent.filter(F.col("kind").startswith("sum")).toLocalIterator():  # a few numbers for each shard
-        values = unpack(row.blob, np.int64)[0]
-        sums[row.kind] = sums.get(row.kind, 0) + values
-    counts = {k: sums[f"sum_{k}"][:4].tolist() for k in range(1, order + 1) if f"sum_{k}" in sums}
-    vocabulary, tokens = sums.get("sum_raw", np.zeros(2, np.int64)).tolist()
-    return Model(uri, order, shards, counts, int(sums["sum_1"][4]) if "sum_1" in sums else 0, tokens, vocabulary)
+        *columns, counts = _receive(blobs, k + 1)
+        columns, counts = _distinct(columns, counts)
+        names = [mix(c) for c in columns]
+        write_table(uri, _table_name(kind, shard), row_hashes(names), [counts])
+        sums = [(kind, [*(int((counts == j).sum()) for j in (1, 2, 3, 4)), int(counts.sum())])]
+        if k == 1:
+            return _rows([], sums)
+        head = np.ones(len(counts), bool)
+        head[1:] = False
+        for c in columns[:-1]:
+            head[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(head)
+        context = row_hashes([n[at] for n in names[:-1]])
+        of = [np.add.reduceat(x, at) for x in (counts, *((counts == j).astype(np.uint64) for j in (1, 2)), (counts > 2).astype(np.uint64))]
+        spread = words.spread([c[at] for c in columns[:-1]])
+        write_table(uri, _table_name(f"context{k}", shard), context[~spread], [x[~spread] for x in of])
+        context, *of = sum_by(context[spread], *(x[spread] for x in of))
+        sent = list(_send(f"spread{k}", shards, shard_of(context, shards), [context, *of]))
+        lower = columns[1:]
+        add = np.where(lower[0] == 0, counts, 1).astype(np.uint64) if k > 2 else np.ones(len(counts), np.uint64)
+        lower, add = _distinct(lower, add)
+        sent += _send(f"grams{k - 1}", shards, words.route(lower), [*lower, add])
+        return _rows(sent, sums)
+
+    sent = rows.mapInArrow(count, _KIND)
+    counts: dict[int, list[int]] = {}
+    kinds = 0
+    for k in range(order, 0, -1):
+        done = landed(sent.groupBy("kind", "shard").applyInArrow(merge, _KIND), uri, f"sent{k}")
+        sums = done.filter(F.col("kind") == f"grams{k}").filter("sums IS NOT NULL").agg(*[F.sum(F.col("sums")[i]) for i in range(5)]).first()
+        if sums[0] is not None:
+            counts[k] = list(sums[:4])
+            kinds = sums[4]
+        if k < order:  # the shards have read these rows; sums of frequent contexts are merged with the next order
+            remove_dir(f"{uri}/sent{k + 1}")
+        sent = done.filter("blob IS NOT NULL")
+    return Model(words, order, counts, kinds, tokens, vocabulary)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; perplexity is 10 ** (-score / n_tokens)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "body", BLOCK_BYTES):
-            count, known, base, own = model.scores(block.column(1))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        try:
+            for block in blocks(batches, "body", BLOCK_BYTES):
+                count, known, base, own = model.scores(block.column(1))
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        finally:
+            forget()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where it names none (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if not named:
         named = getattr(context, "_orrery_dir", None)
         if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
             named = "file://" + tempfile.mkdtemp(prefix="orrery_shared")
             context._orrery_dir = named
     if context.getCheckpointDir() is None:
@@ -24,12 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within are removed when it has run, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now, written to the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def landed(df: DataFrame, uri: str, name: str) -> DataFrame:
+    """The same rows, written now as a table of a folder of ours; the shuffles behind it are removed."""
+    with tidy(df.sparkSession):
+        df.write.parquet(f"{uri}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{uri}/{name}")
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder in the shared one, as a URI; it is removed when the driver ends, if not before."""
     base = shared_dir(spark).rstrip("/")

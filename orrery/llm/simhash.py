@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import mapped_bytes, pack, put_bytes, unpack
+from .arrays import forget, mapped_bytes, pack, put_bytes, unpack
 from .components import components
 from .shared import cut, fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes
@@ -352,7 +352,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for k in range(batch.num_rows):
                     yield decided(*(batch.column(c)[k].values for c in (0, 1)))
         finally:
-            mapped_bytes.cache_clear()  # a file that is mapped keeps its space after it is removed
+            forget()  # a file that is mapped keeps its space after it is removed
 
     def decided(*sides: pa.StructArray) -> pa.RecordBatch:
         prints_ = [np.asarray(s.field("fingerprint")).view(np.uint64) for s in sides]
@@ -375,7 +375,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for one in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 np.add.at(total, set_at(*one) >> np.uint32(32 - CLASS_BITS), 1)
-        mapped_bytes.cache_clear()
+        forget()
         yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], ["counts"])
 
     counts = np.zeros(1 << CLASS_BITS, np.int64)
@@ -390,7 +390,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sets = [set_at(*x) for x in zip(file.tolist(), at.tolist(), n.tolist(), strict=True)]
             owner, place, first = first_shingles(sets, counts.value, least)
             del sets
-            mapped_bytes.cache_clear()
+            forget()
             shard = first % np.uint32(shards)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -415,7 +415,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         try:
             found = apart_links(first, place.astype(np.int64), row, n.astype(np.int64), root, least, lambda i, j: similarity(set_of(i), set_of(j)) >= least)
         finally:
-            mapped_bytes.cache_clear()
+            forget()
         return pa.table([pa.array([int(root[x[c]]) for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
     more = components(placed.mapInArrow(deal, "shard long, blob binary").groupBy("shard").applyInArrow(match, "u long, v long"))

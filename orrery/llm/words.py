@@ -158,6 +158,14 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1])
 
 
+def row_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """What `run_hashes` gives for the runs columns[0][i], columns[1][i] ..."""
+    out = columns[0].copy()
+    for c in columns[1:]:
+        out = out * np.uint64(_STEP) + c
+    return mix(out)
+
+
 def whole_runs(words: Words, n: int) -> np.ndarray:
     """Indexes of the words from which n consecutive words of one document start."""
     ends = np.repeat(words.first[1:], words.counts)
