@@ -1,10 +1,10 @@
 """Compressed columns for shuffles, and sorted hash arrays that workers map into memory.
 
-A sorted hash array holds keys of 64 bits and a few counts for each.  A
-directory over the first bits of the keys (a cell for about eight keys) stands
-in for these bits, and the 32 bits after them are kept: with n keys in a file
-two keys are taken as equal with a chance of about 8 / 2**32 a search, besides
-the bits that choose the file.  Rows of counts are numbered: one byte names one
+A sorted hash array holds keys of 64 bits and a few counts for each.  Files are
+ranges of the first half of a key, so within a file keys are ordered by the
+second half first.  A directory over its first bits (a cell for about eight
+keys) stands in for these bits, and the 32 bits after them are kept: a key that
+is not there is found all the same with a chance of about 8 / 2**32.  Rows of counts are numbered: one byte names one
 of the 255 commonest rows of the file, or says that the row is in a list of
 exceptions.
 """
@@ -70,6 +70,10 @@ def sum_by(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 CELL, KEPT, NUMBERED = 8, 32, 255
 
 
+def _turned(key: np.ndarray) -> np.ndarray:
+    return (key << np.uint64(32)) | (key >> np.uint64(32))
+
+
 def _rows_numbered(counts: list[np.ndarray]) -> list[np.ndarray]:
     """(numbers of one byte, the rows they name, where the exceptions are, their rows)."""
     rows = np.stack([c.astype(np.uint64) for c in counts], 1)
@@ -87,6 +91,7 @@ def _rows_numbered(counts: list[np.ndarray]) -> list[np.ndarray]:
 
 def write_table(uri: str, name: str, key: np.ndarray, counts: list[np.ndarray], wide: np.ndarray | None = None) -> None:
     """A sorted hash array of distinct keys; wide: one more column, kept as it is."""
+    key = _turned(key)
     order = np.argsort(key)
     key = key[order]
     bits = min(64 - KEPT, (len(key) // CELL).bit_length())
@@ -140,6 +145,7 @@ def lookup(uri: str, table: str, shard: np.ndarray, key: np.ndarray, width: int)
     found, counts, wide = np.zeros(len(key), bool), np.zeros((len(key), width), np.uint64), np.zeros(len(key), np.uint64)
     if not len(key):
         return found, counts, wide
+    key = _turned(key)
     order = np.argsort(key)
     order = order[np.argsort(shard[order].astype(np.uint16) if shard.max() < 1 << 16 else shard[order], kind="stable")]
     shards, first = np.unique(shard[order], return_index=True)
