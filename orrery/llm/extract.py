@@ -21,6 +21,7 @@ looked at.
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import INLINE, Block, blocks_of
+from .pages import Block, Node, blocks_of
 from .shared import small_batches
 from .words import blocks, loose
 
@@ -50,21 +51,19 @@ MAIN_WORDS = ["content", "post-content", "entry-content", "article-body", "post"
 PLAIN_WORDS = ["container", "wrapper", "row", "col", "page", "inner", "box", "layout", "grid", "outer", "section", "block"]
 
 
-def features(page: list[Block]) -> list[list[int]]:
-    """Numbers below SIZE of the features of each block."""
+def features(page: list[Block]) -> list[tuple[list[int], Node | None]]:
+    """Numbers below SIZE of each block's own features, and the element it lies in, whose features are those of `around`."""
     n, out = len(page), []
-    title = next((b.text for b in page if b.path and b.path[-1][0] == "title"), "")
+    title = next((b.text for b in page if b.node and b.node.tag == "title"), "")
     for i, b in enumerate(page):
-        tags = [t for t, _ in b.path]
-        own = next((t for t in reversed(tags) if t not in INLINE), "")
+        last = list(itertools.islice(b.up(), 2))
+        own = b.node.own if b.node else ""
         words = b.text.split(" ")
         share = b.linked / max(1, len(b.text))
         size = min(7, len(words).bit_length())
         f = {"bias", f"own {own}", f"words {size}", f"links {round(4 * share)}", f"own {own} words {size}", f"own {own} links {share > 0.5}"}
-        f.update(f"in {t}" for t in tags)
-        f.update(f"last {t}" for t in tags[-2:])
-        f.update(f"name {w}" for _, names in b.path for w in names)
-        f.update(f"near {w}" for _, names in b.path[-2:] for w in names)
+        f.update(f"last {x.tag}" for x in last)
+        f.update(f"near {w}" for x in last for w in x.names)
         f.add(f"end {b.text[-1] in '.!?…\"”»:;'}")
         f.add(f"commas {min(3, b.text.count(','))}")
         f.add(f"digits {sum(c.isdigit() for c in b.text[:200]) > 0.2 * min(200, len(b.text))}")
@@ -75,14 +74,19 @@ def features(page: list[Block]) -> list[list[int]]:
             f.add("title")
         for name, j in (("before", i - 1), ("after", i + 1)):
             if 0 <= j < n:
-                f.add(f"{name} {next((t for t, _ in reversed(page[j].path) if t not in INLINE), '')}")
+                f.add(f"{name} {page[j].node.own if page[j].node else ''}")
                 f.add(f"{name} words {len(page[j].text) // 40 > 0}")
             else:
                 f.add(f"{name} none")
-        out.append([_number(x) for x in f])
+        out.append(([_number(x) for x in f], b.node))
     return out
 
 
+def around(node: Node | None) -> list[int]:
+    """Numbers of the features of an element and those it lies in: each name and class word once."""
+    return [_number(x) for up in (node.up() if node else ()) for x in up.fresh]
+
+
 _NUMBERS: dict[str, int] = {}
 
 
@@ -191,12 +195,18 @@ class Field:
     first: float
     step: np.ndarray  # [label before, label]
 
-    def emissions(self, pages: list[list[list[int]]]) -> list[np.ndarray]:
-        flat = [f for page in pages for block in page for f in block]
-        size = np.array([len(block) for page in pages for block in page], np.int64)
-        if not len(size):
+    def emissions(self, pages: list[list[tuple[list[int], Node | None]]]) -> list[np.ndarray]:
+        """The score of each block of some pages (`features`); that of the elements around is made once for each element."""
+        every = [x for page in pages for x in page]
+        if not every:
             return [np.zeros(0) for _ in pages]
-        total = np.add.reduceat(self.emission[np.array(flat)], np.cumsum(size) - size)
+        size = np.array([len(own) for own, _ in every], np.int64)
+        total = np.add.reduceat(self.emission[np.array([f for own, _ in every for f in own])], np.cumsum(size) - size)
+        known: dict[Node | None, float] = {None: 0.0}
+        for i, (_, node) in enumerate(every):
+            for new in reversed(list(itertools.takewhile(lambda x: x not in known, node.up() if node else ()))):
+                known[new] = known[new.parent] + sum(float(self.emission[_number(x)]) for x in new.fresh)
+            total[i] += known[node]
         return np.split(total, np.cumsum([len(p) for p in pages])[:-1])
 
     def viterbi(self, score: np.ndarray) -> list[int]:
@@ -226,7 +236,8 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, rate:
     owner, column = [], []
     for i, (page, marks) in enumerate(pages):
         label[i, : len(marks)], real[i, : len(marks)] = marks, True
-        for t, f in enumerate(features(page)):
+        for t, (own, node) in enumerate(features(page)):
+            f = [*own, *around(node)]
             owner += [i * most + t] * len(f)
             column += f
     owner, column = np.array(owner), np.array(column)
@@ -266,7 +277,7 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sampl
     """Train on at most `sample` pages."""
     chosen = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html")).filter(F.octet_length("html") <= LARGEST)
     ids = chosen.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = chosen.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()  # `sample` rows
+    rows = chosen.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).orderBy("id").collect()  # `sample` rows
     return train(labelled([r.html for r in rows]))
 
 
