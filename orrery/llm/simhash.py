@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import forget, mapped_bytes, pack, put_bytes, unpack
-from .components import components
+from .components import components, join_hot
 from .shared import cut, fresh_dir, remove_dir, small_batches
 from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes
 
@@ -74,16 +74,21 @@ def simhashes(words: Words, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint) of every row: SimHash over XXH64 of runs of `shingle` words, A-Z lower-cased."""
+    """(id, mark, fingerprint) of every row: SimHash over XXH64 of runs of `shingle` words, A-Z lower-cased; mark is a hash of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "body", BLOCK_BYTES):
-            words = find_words(*text_bytes(block.column(1)), UNSPACED, fold=True)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(simhashes(words, shingle).view(np.int64))], ["id", "fingerprint"])
+            words = find_words(*text_bytes(block.column(2)), UNSPACED, fold=True)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(simhashes(words, shingle).view(np.int64))], ["id", "mark", "fingerprint"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
-    return rows.mapInArrow(scan, "id long, fingerprint long")
+    return _marked(docs, id_col, text_col).mapInArrow(scan, "id long, mark long, fingerprint long")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, body); rows of equal id and mark have equal texts, null texts apart."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("body"))
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,14 +185,19 @@ def _tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
+def _named(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """nodes (node, least, n, ...) with the smallest id of the component of each as `component`, and its `root`."""
+    rooted = cut(nodes.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col(node) == F.col("__node"), "left").withColumn("root", F.coalesce("__root", node)).drop("__node", "__root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("__size"))
+    return join_hot(rooted, least, "root", "__size", rooted.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint, component) of every row; component is the smallest id reachable over links."""
+    """(id, mark, fingerprint, root, component) of every row; component is the smallest id reachable over links, root a fingerprint that is the same for all of a component."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    roots = components(links(nodes.select("fingerprint"), radius))
-    rooted = cut(nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.join(least, "root").select("fingerprint", "component"), "fingerprint").select("id", "fingerprint", "component")
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    named = _named(nodes, components(links(nodes.select("fingerprint"), radius)), "fingerprint")
+    return join_hot(prints, named.select("fingerprint", "n", "root", "component"), "fingerprint", "n", prints.count())
 
 
 # Near copies by similarity: fingerprints and rare shingles propose, the sets of shingles decide.
@@ -313,15 +323,20 @@ def apart_links(shingle: np.ndarray, place: np.ndarray, row: np.ndarray, size: n
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE) -> DataFrame:
-    """(id, component) of every row: documents are linked whose sets of `shingle` words are `least` similar or more.
+    """(id, mark, root, component) of every row: documents are linked whose sets of `shingle` words are `least` similar or more.
+
+    component is the smallest id of a group, root a name of it; mark is a hash
+    of the text.
 
     Texts whose SimHashes over these sets differ in `radius` bits at most are
     candidates first, which connects large groups at little cost and most of
     the rest.  Then texts of different components that share one of their
     rarest shingles are, and similar sets always do; so every link counts,
     whatever the radius.  Each is decided by the sets themselves, 32 bits of a
-    shingle's hash, which workers map from the shared folder.  Texts of equal
-    words are one node.
+    shingle's hash, which workers map from the shared folder: sets of m and n
+    shingles agree in one that is not shared with a chance of m * n / 2**32, for
+    two texts of 4,000 words one in 270, which moves their similarity by
+    1 / 8,000.  Texts of equal words are one node.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -329,19 +344,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "body", BLOCK_BYTES):
-            words = find_words(*text_bytes(block.column(1)), UNSPACED, fold=True)
+            words = find_words(*text_bytes(block.column(2)), UNSPACED, fold=True)
             sets, names = shingle_sets(words, shingle)
             small = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
             flat = np.concatenate([*small, np.zeros(0, np.uint32)]).tobytes()
             file = np.uint64(xxhash.xxh64_intdigest(flat)).astype(np.int64)
             put_bytes(uri, str(file), flat)
             size = np.array([len(s) for s in small], np.int32)
-            columns = [block.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(_majority(sets).view(np.int64)), pa.array(np.full(len(sets), file)), pa.array((np.cumsum(size) - size).astype(np.int32)), pa.array(size)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fingerprint", "file", "at", "n"])
+            columns = [block.column(0), block.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(_majority(sets).view(np.int64)), pa.array(np.full(len(sets), file)), pa.array((np.cumsum(size) - size).astype(np.int32)), pa.array(size)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "node", "fingerprint", "file", "at", "n"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
-    prints = cut(rows.mapInArrow(scan, "id long, node long, fingerprint long, file long, at int, n int"))
-    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fingerprint", "file", "at", "n")).alias("s")))
+    prints = cut(_marked(docs, id_col, text_col).mapInArrow(scan, "id long, mark long, node long, fingerprint long, file long, at int, n int"))
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.min(F.struct("fingerprint", "file", "at", "n")).alias("s")))
 
     def set_at(file: int, at: int, n: int) -> np.ndarray:
         return np.frombuffer(mapped_bytes(uri, str(file)), np.uint32, n, 4 * at) if n else np.zeros(0, np.uint32)
@@ -364,7 +378,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     pairs = _tile_pairs(nodes.select("s.fingerprint", "node", "s.file", "s.at", "s.n"), radius, tile, radius)
     roots = components(pairs.mapInArrow(compare, "u long, v long"))
-    rooted = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "s.file", "s.at", "s.n"))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"), "s.file", "s.at", "s.n"))
 
     # What the fingerprints left apart: the components that similar sets connect.
     placed = rooted.select("root", "file", "at", "n").repartition(_tasks(docs), "file")
@@ -420,28 +434,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     more = components(placed.mapInArrow(deal, "shard long, blob binary").groupBy("shard").applyInArrow(match, "u long, v long"))
     remove_dir(uri)  # the links are decided and written
-    more = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    rooted = cut(rooted.join(more, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.join(smallest, "root").select("node", "component"), "node").select("id", "component")
+    per = rooted.groupBy("root").agg(F.count("*").alias("__size"))
+    per = per.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    joined = join_hot(rooted.select("node", "least", "rows", "root"), per.select("root", "__size", F.coalesce("top", "root").alias("top")), "root", "__size", rooted.count())
+    joined = cut(joined.select("node", "least", "rows", F.col("top").alias("root")))
+    least = joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("__size"))
+    named = join_hot(joined, least, "root", "__size", joined.count())
+    return join_hot(prints.select("id", "mark", "node"), named.select("node", "rows", "root", "component"), "node", "rows", prints.count()).select("id", "mark", "root", "component")
+
 
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that of the smallest id and, of rows that share it, of the smallest hash of the text; rows without an id stay.
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, that of the smallest id, with its own columns; rows without an id stay."""
-    kept = found.filter("id = component").select(F.col("id").alias("__kept")).distinct()
-    named = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    stay = named.join(kept, named[f"`{id_col}`"].cast("long") == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    found: (id, mark, root) of every row.  Rows of equal id and text are one
+    document; of these, if other columns differ, that of the smallest hash of
+    all columns stays.
+    """
+    best = found.filter("id IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "mark")).alias("__best")).select("__best.*")
+    rows = found.filter("id IS NOT NULL").groupBy("id", "mark").agg(F.count("*").alias("__rows"))
+    kept = best.join(rows, ["id", "mark"]).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__rows")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{id_col}`").cast("long").alias("__a"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__b"))
+    stay = own.filter("__a IS NOT NULL").join(kept, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__mark")))
+    same = stay.filter("__rows > 1").groupBy("__a", "__b").agg(F.min_by("own", F.xxhash64(*[F.col(f"own.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()])).alias("own"))
+    return stay.filter("__rows = 1").select("own.*").unionByName(same.select("own.*")).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Of each group that fingerprints link one document stays."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Of each group of similar documents one stays."""
-    return keep_first(docs, similar_documents(docs, id_col, text_col, **options), id_col)
+    return keep_first(docs, similar_documents(docs, id_col, text_col, **options), id_col, text_col)
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
