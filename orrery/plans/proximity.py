@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import keep_last
-from ..operators.propagate import separation, time_grid
-from ..sources.parameters import Mission
+from ..operators.propagate import separation
+from ..sources.parameters import window
 from .maneuver import sgp4_only
 
 
-def history_of(history: DataFrame, norad: int, mission: Mission) -> DataFrame:
-    """Sets of an object in the mission's window (its last day up to the last whole second), the last of each epoch."""
-    text = F.date_format("EPOCH", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    kept = history.filter((F.col("NORAD_CAT_ID") == norad) & (text >= mission.window_start) & (text <= f"{mission.window_end}T23:59:59"))
-    return keep_last(kept, ["NORAD_CAT_ID"], "EPOCH", "GP_ID")
+def history_of(history: DataFrame, norad: int, phases: DataFrame) -> DataFrame:
+    """Sets of an object in the window of some phases (its last day up to the last whole second), the last of each epoch."""
+    span = F.broadcast(window(phases).select(F.col("begin").alias("__begin"), F.col("end").alias("__end")))  # one row
+    own = history.filter(F.col("NORAD_CAT_ID") == norad).crossJoin(span)
+    return keep_last(own.filter(F.col("EPOCH").between(F.col("__begin"), F.col("__end"))).drop("__begin", "__end"), ["NORAD_CAT_ID"], "EPOCH", "GP_ID")
 
 
 def phase_of(rows: DataFrame, time: str, phases: DataFrame, default: str = "Gap/unphased") -> DataFrame:
@@ -25,11 +25,11 @@ def phase_of(rows: DataFrame, time: str, phases: DataFrame, default: str = "Gap/
     return rows.crossJoin(spans).withColumn("phase", F.coalesce(F.get(held, F.lit(0))["phase"], F.lit(default))).drop("__p")
 
 
-def distances(history: DataFrame, mission: Mission, step_s: int = 300) -> DataFrame:
-    """(t, sep_km) over the mission."""
+def distances(history: DataFrame, chaser: int, target: int, phases: DataFrame, step_s: int = 300) -> DataFrame:
+    """(t, sep_km) of two objects over the window of some phases."""
     spark = history.sparkSession
-    one, two = (history_of(history, n, mission).select(F.lit(1).alias("pair"), "EPOCH", "TLE_LINE1", "TLE_LINE2") for n in (mission.chaser_norad, mission.target_norad))
-    grid = time_grid(spark, mission.t_start, mission.t_end, step_s).select(F.lit(1).alias("pair"), "t")
+    one, two = (history_of(history, n, phases).select(F.lit(1).alias("pair"), "EPOCH", "TLE_LINE1", "TLE_LINE2") for n in (chaser, target))
+    grid = window(phases).filter("begin IS NOT NULL").select(F.lit(1).alias("pair"), F.explode(F.sequence("begin", "end", F.expr(f"INTERVAL {int(step_s)} SECOND"))).alias("t"))
     n = max(spark.sparkContext.defaultParallelism, 8)
     return separation(grid.repartition(n, "t"), one, two).drop("pair")
 
@@ -47,13 +47,13 @@ def closest_by_phase(series: DataFrame, phases: DataFrame) -> DataFrame:
     return out.select("ordinal", "phase", F.col("m.t").alias("t"), F.coalesce("m.sep_km", F.lit(float("inf"))).alias("sep_km")).orderBy("ordinal")
 
 
-def detections_by_phase(history: DataFrame, mission: Mission) -> DataFrame:
-    """How many maneuvers of the chaser fall in each phase."""
-    found = sgp4_only(history_of(history, mission.chaser_norad, mission)).filter("is_maneuver")
-    return phase_of(found, "epoch_after", mission.phase_table(history.sparkSession)).groupBy("phase").agg(F.count("*").alias("n")).orderBy("phase")
+def detections_by_phase(history: DataFrame, chaser: int, phases: DataFrame) -> DataFrame:
+    """How many maneuvers of an object fall in each phase."""
+    found = sgp4_only(history_of(history, chaser, phases)).filter("is_maneuver")
+    return phase_of(found, "epoch_after", phases).groupBy("phase").agg(F.count("*").alias("n")).orderBy("phase")
 
 
-def noise_floor(history: DataFrame, mission: Mission) -> DataFrame:
-    """One row: the 95th percentile of the target's residuals."""
-    found = sgp4_only(history_of(history, mission.target_norad, mission))
+def noise_floor(history: DataFrame, target: int, phases: DataFrame) -> DataFrame:
+    """One row: the 95th percentile of an object's residuals."""
+    found = sgp4_only(history_of(history, target, phases))
     return found.agg(F.percentile("vel_residual_ms", F.lit(0.95)).alias("p95_ms"))

@@ -12,7 +12,7 @@ from ..functions.tle import usable
 from ..operators.propagate import access, time_grid
 from ..operators.schedule import audit, choose, weights
 from ..operators.windows import concurrent, fleet_age, revisit_gaps
-from ..sources.parameters import SITES, Site
+from ..sources.parameters import stations
 
 COUNTRIES = ("SING", "MALA", "INDO", "THAI")
 
@@ -28,10 +28,10 @@ def fleet(gp: DataFrame, countries: tuple[str, ...] = COUNTRIES, since: str = "2
     return kept.select(F.col("NORAD_CAT_ID").alias("norad_id"), name.alias("name"), F.trim("TLE_LINE1").alias("TLE_LINE1"), F.trim("TLE_LINE2").alias("TLE_LINE2"))
 
 
-def schedule(objects: DataFrame, start: datetime, end: datetime, sites: list[Site] = SITES) -> DataFrame:
-    """All access windows with their weight and whether they are tracked."""
+def schedule(objects: DataFrame, start: datetime, end: datetime, sensors: list[dict] | None = None) -> DataFrame:
+    """All access windows with their weight and whether they are tracked; sensors are those of `stations` if not given."""
     n = max(objects.sparkSession.sparkContext.defaultParallelism, int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    windows = access(objects.repartition(n, "norad_id"), [vars(s) for s in sites], start, end)
+    windows = access(objects.repartition(n, "norad_id"), stations() if sensors is None else sensors, start, end)
     return choose(weights(windows, _at(start)))
 
 

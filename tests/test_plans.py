@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.kernels import kepler
 from orrery.plans import conjunction, ephemeris, geometry_queries, maneuver, messages, proximity, reconcile, reports, tasking, visibility
 from orrery.plans.tables import element_lines
-from orrery.sources.parameters import Mission, Site
+from orrery.sources.parameters import phase_rows, stations
 
 START = datetime(2024, 1, 1, 12)
 
@@ -80,7 +80,7 @@ def test_tasking(spark):
     gp = element_lines(spark, SF).withColumn("EPOCH", F.lit("2026-02-01").cast("timestamp_ntz")).withColumn("COUNTRY_CODE", F.lit("SING"))
     fleet = tasking.fleet(gp).filter("norad_id <= 30")
     end = START + timedelta(hours=8)
-    chosen = tasking.schedule(fleet, START, end, [Site("A", 40.0, 10.0, max_range_km=3000.0), Site("B", -20.0, 100.0, max_range_km=3000.0)]).cache()
+    chosen = tasking.schedule(fleet, START, end, stations([("A", 40.0, 10.0), ("B", -20.0, 100.0)], MAX_RANGE_KM=3000.0)).cache()
     rows = [r for r in chosen.collect() if r.selected]
     for a in rows:
         assert all(a is b or a.sensor != b.sensor or a.t_los <= b.t_aos + timedelta(seconds=1) or b.t_los <= a.t_aos + timedelta(seconds=1) for b in rows)
@@ -94,13 +94,13 @@ def test_tasking(spark):
 
 def test_proximity(spark):
     h = _history(spark).unionByName(_history(spark, 99).withColumn("NORAD_CAT_ID", F.lit(78)).withColumn("GP_ID", F.col("GP_ID") + 100))
-    m = Mission("C", 77, "T", 78, "2024-01-01", "2024-01-02", [("one", "2024-01-01", "2024-01-02"), ("two", "2024-01-02", "2024-01-03"), ("late", "2025-01-01", "2025-01-02")])
-    d = proximity.distances(h, m).cache()
+    days = phase_rows(spark, [("one", "2024-01-01", "2024-01-02"), ("two", "2024-01-02", "2024-01-02")])
+    d = proximity.distances(h, 77, 78, days).cache()
     assert d.count() > 400 and d.agg(F.max("sep_km")).first()[0] < 1e-6  # the same orbit until the jump, sampled finely as it is below a kilometre
     assert proximity.closest(d).first().sep_km < 1e-6
-    phases = proximity.closest_by_phase(d, m.phase_table(spark)).collect()
+    phases = proximity.closest_by_phase(d, phase_rows(spark, [("one", "2024-01-01", "2024-01-02"), ("two", "2024-01-02", "2024-01-03"), ("late", "2025-01-01", "2025-01-02")])).collect()
     assert [p.phase for p in phases] == ["one", "two", "late"] and phases[2].sep_km == float("inf") and phases[2].t is None
-    assert proximity.detections_by_phase(h, m).count() >= 0 and proximity.noise_floor(h, m).count() == 1
+    assert proximity.detections_by_phase(h, 77, days).count() >= 0 and proximity.noise_floor(h, 78, days).count() == 1
 
 
 def test_messages_against_propagation(spark):
