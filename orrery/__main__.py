@@ -9,7 +9,7 @@ here calls a remote service.
 from __future__ import annotations
 
 import argparse
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from .operators import lookups, store
 from .plans import conjunction, maneuver, messages, proximity, reconcile, reports, tasking, visibility
 from .session import session
 from .sources import catalog, orbits, sensors, weather
-from .sources.parameters import MISSIONS
+from .sources.parameters import OBJECTS, mission_objects, mission_phases, months, window
 
 
 def _show(title: str, rows: DataFrame, n: int = 50) -> None:
@@ -76,7 +76,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--start", type=_time, required=True)
     x.add_argument("--end", type=_time, required=True)
     x = add("proximity", "a rendezvous mission")
-    x.add_argument("--mission", choices=sorted(MISSIONS), required=True)
+    x.add_argument("--mission", choices=sorted({x[0] for x in OBJECTS}), required=True)
     x = add("verify", "conjunction messages against propagation")
     x.add_argument("--messages", required=True)
     x.add_argument("--sensitivity", action="store_true")
@@ -88,16 +88,15 @@ def parser() -> argparse.ArgumentParser:
 
 def _ingest(spark, args, tables, put, update: bool) -> None:
     if update:
-        newest = tables["gp"].agg(F.max("EPOCH")).first()[0]
-        new = catalog.newer(spark, args.elements, str(newest or "1957-01-01")).cache()
+        new = catalog.newer_by_object(spark, args.elements, tables["gp"]).cache()
         kept, history = store.archive(tables["gp"], tables["gp_history"], new)
         put("gp_history", history)
-        put("gp", store.upsert_elements(kept, new))
+        put("gp", store.upsert_elements(kept, new, F.unix_micros(F.col("EPOCH").cast("timestamp"))))
     else:
         new = catalog.elements(spark, args.elements)
         put("gp", store.upsert_elements(tables["gp"], new))
     put("satcat", store.upsert_catalog(tables["satcat"], catalog.metadata(spark, args.metadata)))
-    now = datetime.now().isoformat(timespec="seconds")
+    now = datetime.now(timezone.utc).isoformat(timespec="seconds")
     put("sync_meta", store.watermark(store.watermark(tables["sync_meta"], "last_gp_sync", now), "last_satcat_sync", now))
     if update:
         kp = weather.kp(weather.read_text(spark, args.kp)) if args.kp else None
@@ -159,12 +158,15 @@ def main(argv: list[str] | None = None) -> None:
         for title, rows in (("contacts", tasking.contacts(chosen)), ("simultaneous", tasking.simultaneous(chosen)), ("schedule", tasking.selection(chosen)), ("revisits", tasking.revisits(chosen, args.start, args.end)), ("conflicts", tasking.conflicts(chosen, args.start))):
             _show(title, rows, 1000)
     elif kind == "proximity":
-        mission = MISSIONS[args.mission]
-        series = proximity.distances(tables["gp_history"], mission).cache()
-        _show(mission.title, proximity.closest(series))
-        _show("by phase", proximity.closest_by_phase(series, mission.phase_table(spark)))
-        _show("maneuvers by phase", proximity.detections_by_phase(tables["gp_history"], mission))
-        _show("noise floor of the target", proximity.noise_floor(tables["gp_history"], mission))
+        phases = mission_phases(spark, args.mission)
+        who = {r.role: r for r in mission_objects(spark, args.mission).collect()}
+        chaser, target = who["chaser"], who["target"]
+        series = proximity.distances(tables["gp_history"], chaser.NORAD_CAT_ID, target.NORAD_CAT_ID, phases).cache()
+        _show("window", window(phases).select(months(F.col("begin"), F.col("end")).alias("window")))
+        _show(f"{chaser.name} / {target.name}", proximity.closest(series))
+        _show("by phase", proximity.closest_by_phase(series, phases))
+        _show("maneuvers by phase", proximity.detections_by_phase(tables["gp_history"], chaser.NORAD_CAT_ID, phases))
+        _show("noise floor of the target", proximity.noise_floor(tables["gp_history"], target.NORAD_CAT_ID, phases))
     elif kind == "verify":
         found = orbits.conjunction_messages(spark, args.messages)
         history = tables["gp_history"].unionByName(tables["gp"])

@@ -1,7 +1,8 @@
 """Tables as DataFrames: upserts, archiving, insert-or-ignore, watermarks.
 
 Every operator takes the stored rows and the incoming rows and returns the new
-rows; `save` replaces a table on disk in one move.
+rows; `save` replaces a table on disk, and `bootstrap` ends a replacement that
+was broken off.
 """
 
 from __future__ import annotations
@@ -105,9 +106,7 @@ def bootstrap(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
     for name, schema in TABLES.items():
         path = f"{root}/{name}"
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not settle(spark, path):
             empty(spark, schema).write.parquet(path)
         out[name] = migrate(spark.read.parquet(path), schema)
     return out
@@ -119,14 +118,37 @@ def migrate(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _paths(spark: SparkSession, path: str) -> tuple:
+    """The file system, and the table's folder, the one that is written, and the one that was replaced."""
+    to, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    return to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to, new, old
+
+
+def settle(spark: SparkSession, path: str) -> bool:
+    """End a replacement that was broken off; whether there is a table.
+
+    Where the folder is missing, the new rows take its place if they were
+    written whole, else the old ones come back.
+    """
+    fs, to, new, old = _paths(spark, path)
+    if not fs.exists(to):
+        for other in (new, old):
+            if fs.exists(other) and (other == old or fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.new/_SUCCESS"))):
+                fs.rename(other, to)
+                break
+    return bool(fs.exists(to))
+
+
 def save(rows: DataFrame, path: str, partition: str | None = None) -> None:
-    """Write beside the table, then put it in its place; a reader sees the old or the new rows."""
+    """Write beside the table, then put it in its place.
+
+    Between the two moves there is no table; whoever comes then, or after a
+    stop there, calls `settle`, as `bootstrap` does.
+    """
     spark = rows.sparkSession
     writer = rows.write.mode("overwrite").option("maxRecordsPerFile", BATCH_ROWS)
     (writer.partitionBy(partition) if partition else writer).parquet(f"{path}.new")
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    to, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    fs = to.getFileSystem(conf)
+    fs, to, new, old = _paths(spark, path)
     fs.delete(old, True)
     if fs.exists(to):
         fs.rename(to, old)

@@ -60,6 +60,16 @@ def newer(spark: SparkSession, path: str, watermark: str) -> DataFrame:
     return read(spark, path, GP, "update").filter(F.col("EPOCH") > F.lit(watermark).cast("timestamp_ntz"))
 
 
+def newer_by_object(spark: SparkSession, path: str, gp: DataFrame) -> DataFrame:
+    """Element sets newer than the one that gp has of the same object, and those of objects it does not have.
+
+    One object whose epoch runs ahead holds back no other.
+    """
+    latest = gp.groupBy("NORAD_CAT_ID").agg(F.max("EPOCH").alias("__latest"))
+    found = read(spark, path, GP, "update").join(latest, "NORAD_CAT_ID", "left")
+    return found.filter(F.col("__latest").isNull() | (F.col("EPOCH") > F.col("__latest"))).select(GP.names)
+
+
 def between(spark: SparkSession, path: str, norad: int, start: str, end: str) -> DataFrame:
     """Element sets of one object from one day through another."""
     day = F.to_date("EPOCH")

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import archive, insert_ignore, save, upsert_elements
+from ..operators.store import save, settle
 from ..schemas import GP
 
 
@@ -34,18 +34,25 @@ def arrivals(sets: DataFrame, width: str = "1 day", late: str = "10 days") -> Da
 
 
 def maintain(sets: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep gp and gp_history below root up to date: archive what is replaced, then replace.
+    """Keep gp and gp_history below root up to date: append what is replaced to the history, then replace.
 
-    A batch that runs twice changes nothing the second time: sets that the
-    history has are left out, and equal sets replace each other.
+    Of an object's sets, in the table and in the batch, that of the latest epoch
+    is kept, so a set that comes late goes to the history at once.  A batch that
+    runs twice, whole or broken off between the two tables, changes nothing the
+    second time: sets that a table has are left out.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        read = lambda name: spark.read.schema(GP).parquet(os.path.join(root, name))
-        fresh = batch.join(read("gp").select("GP_ID"), "GP_ID", "left_anti")
-        kept, history = archive(read("gp"), read("gp_history"), fresh)
-        save(insert_ignore(history, history.limit(0), ["GP_ID"]), os.path.join(root, "gp_history"))
-        save(upsert_elements(read("gp"), fresh, F.unix_micros(F.col("EPOCH").cast("timestamp"))), os.path.join(root, "gp"))
+        gp_path, history_path = os.path.join(root, "gp"), os.path.join(root, "gp_history")
+        settle(spark, gp_path)
+        gp, history = (spark.read.schema(GP).parquet(p) for p in (gp_path, history_path))
+        fresh = batch.dropDuplicates(["GP_ID"]).join(gp.select("GP_ID"), "GP_ID", "left_anti").select(GP.names)
+        touched = gp.join(fresh.select("NORAD_CAT_ID").distinct(), "NORAD_CAT_ID", "left_semi").select(GP.names).unionByName(fresh)
+        ranked = touched.withColumn("__n", F.row_number().over(Window.partitionBy("NORAD_CAT_ID").orderBy(F.col("EPOCH").desc_nulls_last(), F.col("GP_ID").desc_nulls_last())))
+        passed = ranked.filter("__n > 1").drop("__n")
+        known = history.select("GP_ID").join(passed.select("GP_ID"), "GP_ID", "left_semi")  # the few that are asked for
+        passed.join(known, "GP_ID", "left_anti").select(GP.names).write.mode("append").parquet(history_path)
+        save(gp.join(fresh.select("NORAD_CAT_ID").distinct(), "NORAD_CAT_ID", "left_anti").select(GP.names).unionByName(ranked.filter("__n = 1").drop("__n")), gp_path)
 
     return sets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -154,6 +154,15 @@ def test_messages(spark, tmp_path):
 
 
 def test_parameters(spark):
-    m = parameters.MISSIONS["ldpe-3a"]
-    assert m.title == "LDPE-3A / SJ-23" and m.label() == "Sep–Nov 2024" and m.t_end == datetime(2024, 11, 30, 23, 59, 59)
-    assert parameters.site_table(spark).count() == 3 and m.phase_table(spark).count() == 5 and len(GP) == 34
+    phases = parameters.mission_phases(spark, "ldpe-3a")
+    [span] = parameters.window(phases).select("end", parameters.months(F.col("begin"), F.col("end")).alias("label")).collect()
+    assert span.label == "Sep–Nov 2024" and span.end == datetime(2024, 11, 30, 23, 59, 59) and phases.count() == 5
+    assert [tuple(r) for r in parameters.mission_objects(spark, "ldpe-3a").collect()] == [("chaser", 55264, "LDPE-3A"), ("target", 55131, "SJ-23")]
+    assert len(parameters.stations()) == 3 and len(GP) == 34
+
+
+def test_an_object_that_runs_ahead_holds_back_no_other(spark, tmp_path):
+    rows = lambda sets: [{"GP_ID": str(g), "NORAD_CAT_ID": str(n), "EPOCH": f"2024-01-{d:02d}T00:00:00"} for g, n, d in sets]
+    gp = catalog.elements(spark, _land(tmp_path, "full.json", rows([(1, 10, 20), (2, 20, 5)])))
+    new = catalog.newer_by_object(spark, _land(tmp_path, "new.json", rows([(3, 10, 19), (4, 20, 6), (5, 30, 1), (2, 20, 5)])), gp)
+    assert sorted((r.GP_ID, r.NORAD_CAT_ID) for r in new.collect()) == [(4, 20), (5, 30)] and new.columns == GP.names

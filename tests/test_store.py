@@ -73,3 +73,20 @@ def test_detections_keep_only_what_is_flagged(spark):
     out = store.insert_detections(out, store.detections(pairs))
     [row] = out.collect()
     assert row.NORAD_CAT_ID == 1 and row.DELTA_SMA == -0.5 and row.DELTA_RAAN is None and row.detected_at is not None
+
+
+def test_a_stop_between_the_moves_loses_no_table(spark, tmp_path):
+    root = str(tmp_path)
+    store.bootstrap(spark, root)
+    meta = lambda: [tuple(r) for r in store.bootstrap(spark, root)["sync_meta"].collect()]
+    store.save(store.watermark(store.bootstrap(spark, root)["sync_meta"], "k", "old"), f"{root}/sync_meta")
+    new = store.watermark(spark.createDataFrame([], "key string, value string"), "k", "new")
+    new.write.parquet(f"{root}/sync_meta.new")
+    (tmp_path / "sync_meta").rename(tmp_path / "sync_meta.old")
+    assert meta() == [("k", "new")]  # written whole, so it takes its place
+    new.write.parquet(f"{root}/sync_meta.new")
+    (tmp_path / "sync_meta.new" / "_SUCCESS").unlink()
+    (tmp_path / "sync_meta").rename(tmp_path / "aside")
+    assert meta() == [("k", "old")]  # half written, so the old rows come back
+    store.save(new, f"{root}/sync_meta")
+    assert meta() == [("k", "new")] and not (tmp_path / "sync_meta.old").exists() and not (tmp_path / "sync_meta.new").exists()
