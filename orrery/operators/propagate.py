@@ -308,52 +308,74 @@ def access(objects: DataFrame, sensors: list[dict], start: datetime, end: dateti
 
     Rises and sets of the least elevation are bracketed by a scan and found by
     bisection; within a pass samples decide on range, azimuth mask and
-    elevation.  Objects must be usable; sensors are a stated, small set.
+    elevation.  Objects must be usable; sensors are a stated, small set.  An
+    object is propagated over the scan once for all sensors, and all brackets
+    and all passes of a batch of objects are worked on together.
     """
     grid = np.arange(_us(start), _us(end) + 1, round(scan_s * 1e6))
-    places = [(s, geometry.site(s["lat_deg"], s["lon_deg"], s["alt_km"] * 1000.0)) for s in sensors]
-
-    def seen(one, place, s, us):
-        jd, fr = _julian(us)
-        error, r, _ = one.at(jd[None, :], fr[None, :])
-        az, el, slant = (x[0] for x in geometry.look(geometry.fixed(r, jd, fr), place, s["lat_deg"], s["lon_deg"]))
-        return np.where(error[0] == 0, el, -90.0), az, np.where(error[0] == 0, slant, np.inf)
-
-    def crossing(one, place, s, lo: int, hi: int) -> int:
-        up = seen(one, place, s, np.array([lo]))[0][0] >= s["min_el_deg"]
-        while hi - lo > 1000:
+    jd, fr = _julian(grid)
+    places = [(s, geometry.site(s["LAT"], s["LON"], s["ALT_M"])) for s in sensors]
+    Lines = list[tuple[str, str]]
+
+    def seen(lines: Lines, place: np.ndarray, s: dict, us: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Elevation, azimuth and range of each object at its row of times."""
+        day, part = _julian(us)
+        error, r, _ = elements([x[0] for x in lines], [x[1] for x in lines], model).at(day, part)
+        az, el, slant = geometry.look(geometry.fixed(r, day, part), place, s["LAT"], s["LON"])
+        return np.where(error == 0, el, -90.0), az, np.where(error == 0, slant, np.inf)
+
+    def crossings(lines: Lines, place: np.ndarray, s: dict, lo: np.ndarray, hi: np.ndarray, up: bool) -> np.ndarray:
+        """Between lo, where an object is up or not, and hi, where that has changed, to a millisecond."""
+        while len(lo) and (hi - lo).max() > 1000:
             mid = (lo + hi) // 2
-            if (seen(one, place, s, np.array([mid]))[0][0] >= s["min_el_deg"]) == up:
-                lo = mid
-            else:
-                hi = mid
+            still = ((seen(lines, place, s, mid[:, None])[0][:, 0] >= s["MIN_EL_DEG"]) == up) & (hi - lo > 1000)
+            lo, hi = np.where(still, mid, lo), np.where(still | (hi - lo <= 1000), hi, mid)
         return hi
 
-    def windows(a: str, b: str) -> Iterator[tuple[str, int, int]]:
-        one = elements([a], [b], model)
+    def passes(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(object, last sample before it rises, last sample before it sets); a pass that is under way at either end has no rise or no set."""
+        change = np.diff(up.astype(np.int8), axis=1)
+        (i, rise), (j, fall) = np.nonzero(change == 1), np.nonzero(change == -1)
+        whole = ~(np.append(i[1:] != i[:-1], True)[: len(i)] & up[i, -1])
+        begun = ~(np.append(True, j[1:] != j[:-1])[: len(j)] & up[j, 0])
+        return i[whole], rise[whole], fall[begun]
+
+    def tracked(lines: Lines, place: np.ndarray, s: dict, rise: np.ndarray, fall: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(pass, from, to) of what range, mask and elevation leave of each pass."""
+        count = np.maximum(2, ((fall - rise) / 1e6 / sample_s).astype(np.int64) + 1)
+        width = max(1, AT_ONCE // max(1, int(count.max(initial=2))))
+        for at in range(0, len(rise), width):
+            part = slice(at, at + width)
+            n = count[part, None]
+            j = np.arange(n.max())
+            us = np.where(j < n - 1, (rise[part, None] + (fall - rise)[part, None] / (n - 1) * j).round().astype(np.int64), fall[part, None])
+            el, az, slant = seen(lines[part], place, s, us)
+            lo, hi = s["AZ_MIN_DEG"], s["AZ_MAX_DEG"]
+            mask = ((az >= lo) & (az <= hi)) if lo <= hi else ((az >= lo) | (az <= hi))
+            good = (slant <= s["MAX_RANGE_KM"]) & mask & (el >= s["MIN_EL_DEG"] - 1e-6) & (j < n)
+            for k in np.flatnonzero(good.any(1)).tolist():
+                for a, b in geometry.runs(good[k]):
+                    yield at + k, int(us[k, a]), int(us[k, b - 1]) if b - 1 > a else int(us[k, a]) + round(sample_s * 1e6)
+
+    def windows(lines: Lines) -> Iterator[tuple[int, str, int, int]]:
+        error, r, _ = elements([x[0] for x in lines], [x[1] for x in lines], model).at(jd[None, :], fr[None, :])
+        ground = geometry.fixed(r, jd, fr)
         for s, place in places:
-            up = seen(one, place, s, grid)[0] >= s["min_el_deg"]
-            for first, after in geometry.runs(up):
-                if not first or after == len(grid):
-                    continue  # a pass that is under way at either end has no rise or no set
-                rise, fall = crossing(one, place, s, int(grid[first - 1]), int(grid[first])), crossing(one, place, s, int(grid[after - 1]), int(grid[after]))
-                n = max(2, int((fall - rise) / 1e6 / sample_s) + 1)
-                us = np.linspace(rise, fall, n).round().astype(np.int64)
-                el, az, slant = seen(one, place, s, us)
-                lo, hi = s["az_min_deg"], s["az_max_deg"]
-                mask = ((az >= lo) & (az <= hi)) if lo <= hi else ((az >= lo) | (az <= hi))
-                for i, j in geometry.runs((slant <= s["max_range_km"]) & mask & (el >= s["min_el_deg"] - 1e-6)):
-                    yield s["name"], int(us[i]), int(us[j - 1]) if j - 1 > i else int(us[i]) + round(sample_s * 1e6)
+            el = np.where(error == 0, geometry.look(ground, place, s["LAT"], s["LON"])[1], -90.0)
+            who, rise, fall = passes(el >= s["MIN_EL_DEG"])
+            own = [lines[i] for i in who.tolist()]
+            up, down = (crossings(own, place, s, grid[t], grid[t + 1], begun) for t, begun in ((rise, False), (fall, True)))
+            for k, a, b in tracked(own, place, s, up, down):
+                yield int(who[k]), s["NAME"], a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, AT_ONCE // max(1, len(grid)))
         for batch in batches:
-            owner, rows = [], []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                found = list(windows(a, b))
-                owner += [i] * len(found)
-                rows += found
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), batch.column(0).take(take), batch.column(1).take(take), pa.array([x[1] for x in rows], pa.timestamp("us")), pa.array([x[2] for x in rows], pa.timestamp("us"))], ["sensor", key, name, "t_aos", "t_los"])
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                rows = list(windows(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))))
+                take = pa.array([x[0] for x in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.string()), part.column(0).take(take), part.column(1).take(take), pa.array([x[2] for x in rows], pa.timestamp("us")), pa.array([x[3] for x in rows], pa.timestamp("us"))], ["sensor", key, name, "t_aos", "t_los"])
 
     rows = objects.select(key, name, line1, line2)
     kind = rows.schema[key].dataType.simpleString()

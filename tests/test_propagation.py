@@ -144,3 +144,42 @@ def test_closest_approach_equals_dense_sampling(spark):
         minutes = ((tca - START).total_seconds() + t) / 60.0
         a, b = (elements([x[0]], [x[1]]).propagate(minutes)[1][0] for x in (one, lines[k]))
         assert np.sqrt(((a - b) ** 2).sum(-1)).min() <= miss + 1e-6
+
+
+def test_access_equals_a_search_one_by_one(spark):
+    """The windows of a batch are those of each object and sensor alone, with bisections in floats."""
+    from orrery.kernels import geometry
+    from orrery.sources.parameters import stations
+
+    sensors = stations([("A", 40.0, 10.0), ("B", -20.0, 100.0)], MAX_RANGE_KM=2500.0, AZ_MIN_DEG=300.0, AZ_MAX_DEG=120.0)
+    end = START + timedelta(hours=5)
+    objects = _objects(spark).selectExpr("NORAD_CAT_ID AS norad_id", "OBJECT_NAME AS name", "TLE_LINE1", "TLE_LINE2")
+    got = sorted((r.sensor, r.norad_id, r.t_aos, r.t_los) for r in propagate.access(objects.repartition(2), sensors, START, end).collect())
+    want = []
+    for o in objects.collect():
+        one = elements([o.TLE_LINE1], [o.TLE_LINE2])
+        for s in sensors:
+            place = geometry.site(s["LAT"], s["LON"], s["ALT_M"])
+
+            def look(t, one=one, place=place, s=s):
+                jd, fr = propagate._julian(np.asarray(t, np.int64))
+                return [x[0] for x in geometry.look(geometry.fixed(one.at(jd[None, :], fr[None, :])[1], jd, fr), place, s["LAT"], s["LON"])]
+
+            grid = np.arange(propagate._us(START), propagate._us(end) + 1, 30_000_000)
+            up = look(grid)[1] >= 5.0
+            for first, after in geometry.runs(up):
+                if not first or after == len(grid):
+                    continue
+                edges = []
+                for lo, hi, begun in ((grid[first - 1], grid[first], False), (grid[after - 1], grid[after], True)):
+                    while hi - lo > 1000:
+                        mid = (lo + hi) // 2
+                        lo, hi = (mid, hi) if (look([mid])[1][0] >= 5.0) == begun else (lo, mid)
+                    edges.append(int(hi))
+                us = np.linspace(*edges, max(2, int((edges[1] - edges[0]) / 15e6) + 1)).round().astype(np.int64)
+                az, el, slant = look(us)
+                for i, j in geometry.runs((slant <= 2500.0) & ((az >= 300.0) | (az <= 120.0)) & (el >= 5.0 - 1e-6)):
+                    at = lambda t: datetime(1970, 1, 1) + timedelta(microseconds=int(t))
+                    want.append((s["NAME"], o.norad_id, at(us[i]), at(us[j - 1] if j - 1 > i else us[i] + 15_000_000)))
+    near = lambda a, b: a[:2] == b[:2] and all(abs(x - y) < timedelta(milliseconds=2) for x, y in zip(a[2:], b[2:], strict=True))
+    assert len(got) > 10 and len(got) == len(want) and all(near(a, b) for a, b in zip(got, sorted(want), strict=True))
