@@ -25,7 +25,7 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], left_time: str, ri
 
 def _carry(rows: DataFrame, keys: list[str], forward: bool, bucket: Column | None) -> Column | DataFrame:
     """The last value of __right up to each row in time (or from it on, for the next)."""
-    order = [F.col("__t").asc_nulls_first(), F.col("__side")] if forward else [F.col("__t").desc_nulls_last(), F.col("__side").desc()]
+    order = [F.col("__t").asc_nulls_first(), F.col("__side"), F.col("__right")] if forward else [F.col("__t").desc_nulls_last(), F.col("__side").desc(), F.col("__right").desc()]
     name = "prev" if forward else "next"
     if bucket is None:
         own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -33,7 +33,7 @@ def _carry(rows: DataFrame, keys: list[str], forward: bool, bucket: Column | Non
     rows = rows.withColumn("__b", bucket)
     own = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = rows.withColumn(name, F.last("__right", ignorenulls=True).over(own))
-    at = F.when(F.col("__right").isNotNull(), F.col("__t"))
+    at = F.when(F.col("__right").isNotNull(), F.struct("__t", "__right"))
     edge = F.max_by("__right", at) if forward else F.min_by("__right", at)
     ends = rows.groupBy(*keys, "__b").agg(edge.alias("__edge"))
     before = Window.partitionBy(*keys).orderBy(F.col("__b").asc_nulls_first() if forward else F.col("__b").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +51,8 @@ def around(left: DataFrame, right: DataFrame, by: list[str], left_time: str, rig
     prev is the last right row at or before the left time (before it, if
     strict), next the first after prev's range.  bucket_seconds: part a key's
     rows by time, where one key may have too many for a task.  Of right rows of
-    the same key and time, which one is found is not defined.
+    the same key and time, prev is the greatest and next the least by the
+    columns taken, in their order.
     """
     merged, keys = _merged(left, right, by, left_time, right_time, take, right_first=not strict)
     bucket = None if bucket_seconds is None else F.floor(micros(F.col("__t")) / F.lit(bucket_seconds * 1_000_000))
@@ -97,13 +98,13 @@ def covering(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     """The value whose interval [t, t + hours) holds the left time; else of the nearest t.
 
     The right times are multiples of the interval, as a three-hourly index has
-    them, so the interval is found by an equality.
+    them, so the interval is found by an equality; of rows that repeat one, the
+    greatest value holds.
     """
     width = F.lit(hours * 3_600_000_000)
     slot = F.floor(micros(F.col(left_time)) / width)
-    series = right.filter(F.col(right_time).isNotNull()).select(F.floor(micros(F.col(right_time)) / width).alias("__slot"), F.col(right_time).alias("__at"), F.col(value).alias("__value"))
-    held = left.withColumn("__slot", slot).join(series.select("__slot", F.col("__value").alias(value)), "__slot", "left")
-    return held.drop("__slot")
+    series = right.filter(F.col(right_time).isNotNull()).groupBy(F.floor(micros(F.col(right_time)) / width).alias("__slot")).agg(F.max(value).alias(value))
+    return left.withColumn("__slot", slot).join(series, "__slot", "left").drop("__slot")
 
 
 def covering_else_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, hours: int = 3) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sensors import least_altitude
+from .joins import overlaps
+
+#: Kilometres of altitude in a bucket of `in_reach`.
+REACH_KM = 500.0
 
 # Names of the joined view that differ from those of its tables.
 GP_NAMES = {"INCLINATION": "GP_INCLINATION", "PERIOD": "GP_PERIOD", "OBJECT_TYPE": "GP_OBJECT_TYPE", "RCS_SIZE": "GP_RCS_SIZE", "ingested_at": "gp_ingested_at"}
@@ -52,10 +56,11 @@ def candidates(gp: DataFrame, primary: int, pad_km: float = 50.0) -> DataFrame:
 
 
 def in_reach(gp: DataFrame, sensors: DataFrame) -> DataFrame:
-    """(sensor columns, object columns) of all objects whose altitudes a sensor reaches; sensors are a stated, small set."""
-    s = sensors.select(F.struct(*sensors.columns).alias("sensor"), F.col("MAX_RANGE_KM").alias("__hi"), least_altitude(F.col("MIN_RANGE_KM"), F.col("MIN_EL_DEG")).alias("__lo"))
+    """(sensor columns, object columns) of all objects whose altitudes a sensor reaches: an overlap of two spans, of any number of sensors."""
+    s = sensors.select(F.struct(*sensors.columns).alias("sensor"), F.col("MAX_RANGE_KM").cast("double").alias("__hi"), least_altitude(F.col("MIN_RANGE_KM"), F.col("MIN_EL_DEG")).alias("__lo"))
     flying = gp.filter(F.col("TLE_LINE1").isNotNull() & F.col("TLE_LINE2").isNotNull())
-    return flying.join(F.broadcast(s), (F.col("PERIAPSIS") <= F.col("__hi")) & (F.col("APOAPSIS") >= F.col("__lo"))).drop("__lo", "__hi")
+    met = overlaps(flying, s, ("PERIAPSIS", "APOAPSIS"), ("__lo", "__hi"), REACH_KM)
+    return met.select("l.*", F.col("r.sensor").alias("sensor"))
 
 
 def by_type(rows: DataFrame, object_type: str, column: str = "OBJECT_TYPE") -> DataFrame:
@@ -74,7 +79,7 @@ def first_by_name(rows: DataFrame, column: str, part: str, order: str) -> DataFr
 
 def sensors_named(sensors: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """For each name the sensors called so, or, if there is none, those whose name has it; `asked` is the name."""
-    wanted = F.broadcast(names.select(F.trim(F.col(name)).alias("asked")).distinct())
+    wanted = names.select(F.trim(F.col(name)).alias("asked")).distinct()  # what a command line or a report asks for
     exact = sensors.join(wanted, F.upper("NAME") == F.upper("asked"))
     rest = wanted.join(exact.select("asked").distinct(), "asked", "left_anti")
     like = sensors.join(F.broadcast(rest), F.ilike("NAME", F.concat(F.lit("%"), F.col("asked"), F.lit("%"))))

@@ -169,6 +169,6 @@ def fleet_age(tracks: DataFrame, by: str, time: str, grid: DataFrame, at: str) -
     from .joins import asof
 
     items = tracks.select(by).distinct()
-    points = grid.select(at).crossJoin(F.broadcast(items))  # a stated grid against the items
+    points = items.crossJoin(F.broadcast(grid.select(at)))  # each item against the grid, which the report states
     seen = asof(points, tracks, [by], at, time, []).filter(F.col("prev").isNotNull())
     return seen.groupBy(at).agg(F.avg(seconds_between(F.col("prev.time"), F.col(at)) / F.lit(3600.0)).alias("age_h"), F.count("*").alias("n"))

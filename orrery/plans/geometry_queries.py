@@ -10,7 +10,7 @@ from ..functions import atmosphere, frames, tle, times
 from ..functions import sensors as rules
 from ..operators import propagate
 from . import conjunction, ephemeris, maneuver, tasking, visibility
-from ..sources.parameters import Site
+from ..sources.parameters import stations
 from .tables import HISTORY, STATES, element_lines, history, states, table
 
 QUERIES, SQL = {}, {}
@@ -73,7 +73,7 @@ def geodetic_position(spark, sf):
     return _sites(spark, sf).select("s_suppkey", R("p_x", 5).alias("x"), R("p_y", 5).alias("y"), R("p_z", 5).alias("z"))
 
 
-@query(f"""WITH {STATES}, {JULIAN}, {SITE}, d AS (SELECT event_id, s_suppkey, lat, lon, ex - px AS dx, ey - py AS dy, ez - pz AS dz FROM x JOIN site ON s_suppkey = event_id % 5 + 1),
+@query(f"""WITH {STATES}, {JULIAN}, {SITE}, d AS (SELECT event_id, s_suppkey, lat, lon, ex - px AS dx, ey - py AS dy, ez - pz AS dz FROM x JOIN site ON s_suppkey = event_id % (SELECT count(*) FROM supplier) + 1),
 e AS (SELECT *, cos(radians(lon)) * dy - sin(radians(lon)) * dx AS ea, cos(radians(lat)) * dz - sin(radians(lat)) * (cos(radians(lon)) * dx + sin(radians(lon)) * dy) AS no,
   cos(radians(lat)) * (cos(radians(lon)) * dx + sin(radians(lon)) * dy) + sin(radians(lat)) * dz AS up, sqrt(dx * dx + dy * dy + dz * dz) AS sl FROM d)
 SELECT event_id, round((degrees(atan2(ea, no)) + 360.0) % 360.0, 5) AS az, round(degrees(asin(up / sl)), 5) AS el, round(sl, 4) AS slant FROM e""")
@@ -81,7 +81,8 @@ def azimuth_elevation(spark, sf):
     s = states(spark, sf)
     e = frames.rotate(frames.vector("r"), times.gmst(*times.julian(F.col("t"))))
     flat = s.select("event_id", *[c.alias(n) for c, n in zip(e, ("e_x", "e_y", "e_z"), strict=True)])
-    both = flat.join(F.broadcast(_sites(spark, sf).filter("s_suppkey <= 5")), F.col("s_suppkey") == F.col("event_id") % 5 + 1)  # five sites
+    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))  # one row
+    both = flat.crossJoin(F.broadcast(n)).withColumn("s_suppkey", F.col("event_id") % F.col("n") + 1).join(_sites(spark, sf), "s_suppkey")
     az, el, slant = frames.look(frames.vector("e"), frames.vector("p"), F.col("lat"), F.col("lon"))
     return both.select("event_id", R(az, 5).alias("az"), R(el, 5).alias("el"), R(slant, 4).alias("slant"))
 
@@ -223,11 +224,11 @@ def conjunction_events(spark, sf):
 @query()
 def access_windows(spark, sf):
     objects = element_lines(spark, sf).select(F.col("NORAD_CAT_ID").alias("norad_id"), F.col("OBJECT_NAME").alias("name"), "TLE_LINE1", "TLE_LINE2")
-    return tasking.schedule(objects, START, datetime(2024, 1, 1, 18), [Site("A", 40.0, 10.0, max_range_km=3000.0), Site("B", -20.0, 100.0, max_range_km=3000.0)])
+    return tasking.schedule(objects, START, datetime(2024, 1, 1, 18), stations([("A", 40.0, 10.0), ("B", -20.0, 100.0)], MAX_RANGE_KM=3000.0))
 
 
 @query()
 def separation_series(spark, sf):
     e = element_lines(spark, sf).withColumn("pair", F.floor(F.col("NORAD_CAT_ID") / 2)).withColumn("EPOCH", F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
-    grid = propagate.time_grid(spark, START, datetime(2024, 1, 1, 14), 300).crossJoin(F.broadcast(e.select("pair").distinct()))  # a stated grid
+    grid = e.select("pair").distinct().crossJoin(F.broadcast(propagate.time_grid(spark, START, datetime(2024, 1, 1, 14), 300)))  # a stated grid
     return propagate.separation(grid, e.filter("NORAD_CAT_ID % 2 = 0"), e.filter("NORAD_CAT_ID % 2 = 1"), refine_km=100.0)

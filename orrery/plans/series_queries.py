@@ -80,15 +80,16 @@ def coverage(spark, sf):
     return robust.coverage(history(spark, sf), ["NORAD_CAT_ID"], "EPOCH", 28)
 
 
-# A three-hourly index: mean of events, with some hours missing.
+# A three-hourly index: mean of all events of three hours; the index has no value for those from nine.
 
-SERIES = """kp AS (SELECT time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS datetime, round(avg(value), 6) AS kp FROM events WHERE event_id % 11 = 0 GROUP BY 1)"""
+SERIES = """kp AS (SELECT * FROM (SELECT time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS datetime, round(avg(value), 6) AS kp FROM events GROUP BY 1) WHERE hour(datetime) <> 9)"""
 
 
 def _series(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 11 = 0")
+    e = table(spark, sf, "events")
     slot = F.floor(times.micros(F.col("ts")) / 10_800_000_000) * 3
-    return e.groupBy(F.timestamp_add("HOUR", slot, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias("datetime")).agg(F.round(F.avg("value"), 6).alias("kp"))
+    index = e.groupBy(F.timestamp_add("HOUR", slot, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias("datetime")).agg(F.round(F.avg("value"), 6).alias("kp"))
+    return index.filter(F.hour("datetime") != 9)
 
 
 @query(f"""WITH {HISTORY}, {SERIES}, n AS (SELECT "GP_ID", "EPOCH", kp, datetime, abs(epoch_us(datetime) - epoch_us("EPOCH")) AS far, datetime <= "EPOCH" AND datetime + INTERVAL 3 HOUR > "EPOCH" AS holds FROM hist, kp)
@@ -305,12 +306,13 @@ def contact_summary(spark, sf):
     return tasking.contacts(intervals(spark, sf)).withColumn("minutes", F.round("minutes", 6))
 
 
-@query(f"""WITH {INTERVALS} SELECT norad_id AS "NORAD_CAT_ID", count(*) FILTER (sensor = 0) AS p0, round(sum((epoch_us(t_los) - epoch_us(t_aos)) / 60000000.0) FILTER (sensor = 0), 6) AS m0, count(*) FILTER (sensor = 3) AS p3, max(event_id) FILTER (sensor = 3) AS b3 FROM iv GROUP BY 1 HAVING count(*) FILTER (sensor IN (0, 3)) > 0""")
+@query(f"""WITH {INTERVALS} SELECT norad_id AS "NORAD_CAT_ID", count(*) FILTER (sensor = 0) AS p0, round(sum((epoch_us(t_los) - epoch_us(t_aos)) / 60000000.0) FILTER (sensor = 0), 6) AS m0, count(*) FILTER (sensor = 3) AS p3, max(event_id) FILTER (sensor = 3) AS b3, count(*) FILTER (sensor IN (1, 2, 4)) AS others FROM iv GROUP BY 1""")
 def pass_matrix(spark, sf):
-    i = intervals(spark, sf).filter("sensor IN (0, 3)").select(F.col("norad_id").alias("NORAD_CAT_ID"), "sensor", (F.timestamp_diff("MICROSECOND", "t_aos", "t_los") / 1e6).alias("duration_s"), F.col("event_id").alias("max_el_deg"))
+    i = intervals(spark, sf).select(F.col("norad_id").alias("NORAD_CAT_ID"), "sensor", (F.timestamp_diff("MICROSECOND", "t_aos", "t_los") / 1e6).alias("duration_s"), F.col("event_id").alias("max_el_deg"))
     who = i.select("NORAD_CAT_ID").distinct().select("NORAD_CAT_ID", *[F.lit("x").alias(c) for c in ("OBJECT_NAME", "OBJECT_TYPE", "RCS_SIZE")])
-    m = visibility.matrix(i, who, [0, 3])
-    return m.select("NORAD_CAT_ID", F.coalesce("0_passes", F.lit(0)).alias("p0"), F.col("0_minutes").alias("m0"), F.coalesce("3_passes", F.lit(0)).alias("p3"), F.col("3_best_el_deg").alias("b3"))
+    m = visibility.matrix(i, who, [0, 1, 2, 3, 4])
+    others = sum((F.coalesce(F.col(f"{s}_passes"), F.lit(0)) for s in (1, 2, 4)), F.lit(0))
+    return m.select("NORAD_CAT_ID", F.coalesce("0_passes", F.lit(0)).alias("p0"), F.col("0_minutes").alias("m0"), F.coalesce("3_passes", F.lit(0)).alias("p3"), F.col("3_best_el_deg").alias("b3"), others.alias("others"))
 
 
 @query(f"""WITH {INTERVALS} SELECT sensor, count(DISTINCT norad_id) AS objects, count(*) AS passes FROM iv GROUP BY 1""")
