@@ -40,14 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import forget, lookup, pack, shard_of, steps, sum_by, unpack, write_table
-from .shared import fresh_dir, landed, remove_dir, small_batches, tidy
+from .arrays import forget, lookup, shard_of, sum_by, write_table
+from .shared import fresh_dir, landed, remove_dir, small_batches
+from .vocabulary import KIND, Gathered, Vocabulary, distinct_rows, number_words, receive, send, sent_rows, table_name
 from .words import UNSPACED, blocks, find_words, mix, row_hashes, run_hashes, text_bytes
 
 #: Highest order; bytes of text in a block; tokens counted in a shard, about; shards at least.
 ORDER, BLOCK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 3, 6 << 20, 4_000_000, 48
-#: Rows for each shard that a task gathers before it sends, and rows it holds at most.
-SEND_ROWS, HELD_ROWS = 2048, 3_000_000
 #: Hashes of the marks before and after a document; no word has them but by chance of 2**-64.
 OPEN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -65,38 +64,6 @@ def stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, np.flatnonzero(real), words.counts + 1
 
 
-def _table_name(table: str, shard: int) -> str:
-    return f"{table}_{shard:06d}"
-
-
-@dataclass
-class Vocabulary:
-    """Numbers of words (0 opens a document), and which words are frequent."""
-
-    uri: str
-    shards: int
-    frequent: np.ndarray  # for each number below its length
-
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, count, number) of word hashes."""
-        known, counts, number = lookup(self.uri, "words", shard_of(hashes, self.shards), hashes, 1)
-        return known, counts[:, 0], number
-
-    def spread(self, words: list[np.ndarray]) -> np.ndarray:
-        """Whether n-grams of these contexts (columns of numbers) are dealt by all their words."""
-        out = np.ones(len(words[0]), bool)
-        for w in words:
-            out &= self.frequent[np.minimum(w, len(self.frequent) - 1)]
-        return out
-
-    def route(self, words: list[np.ndarray]) -> np.ndarray:
-        """The shard of each n-gram."""
-        names = [mix(w) for w in words]
-        if len(words) == 1:
-            return shard_of(row_hashes(names), self.shards)
-        return shard_of(np.where(self.spread(words[:-1]), row_hashes(names), row_hashes(names[:-1])), self.shards)
-
-
 @dataclass
 class Model:
     """Where the arrays are, and the sums over them.  counts[k][j]: n-grams of order k with count j (4: n/a above)."""
@@ -162,133 +129,14 @@ class Model:
         return count, total((seen > 0)[back].astype(np.int64)), total(base[back]), total(np.log10(p))
 
 
-def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, ascending, and the sums of their counts."""
-    if not len(counts):
-        return columns, counts
-    bits = [max(1, int(c.max()).bit_length()) for c in columns]
-    if sum(bits) <= 64:
-        key = columns[0].copy()
-        for c, b in zip(columns[1:], bits[1:], strict=True):
-            key = (key << np.uint64(b)) | c
-        key, counts = sum_by(key, counts)
-        out = []
-        for b in reversed(bits):
-            out.append(key & np.uint64((1 << b) - 1) if b < 64 else key)
-            key = key >> np.uint64(b) if b < 64 else key
-        return out[::-1], counts
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    head = np.ones(len(order), bool)
-    head[1:] = False
-    for c in columns:
-        head[1:] |= c[1:] != c[:-1]
-    at = np.flatnonzero(head)
-    return [c[at] for c in columns], np.add.reduceat(counts[order], at)
-
-
 def _counted(words: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams that end at the places `at`, and how often each does."""
     kinds, back = np.unique(words, return_inverse=True)
     back = back.reshape(-1).astype(np.uint64)
-    columns, counts = _distinct([back[at - order + 1 + i] for i in range(order)], np.ones(len(at), np.uint64))
+    columns, counts = distinct_rows([back[at - order + 1 + i] for i in range(order)], np.ones(len(at), np.uint64))
     return [kinds[c.astype(np.int64)] for c in columns], counts
 
 
-def _least(x: np.ndarray) -> np.ndarray:
-    """The same numbers in four bytes, if they fit."""
-    return x.astype(np.uint32) if not len(x) or int(x.max()) < 1 << 32 else x
-
-
-def _send(kind: str, shards: int, shard: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[str, int, bytes]]:
-    """A blob for each shard that has rows; rows ascend, and the first column is sent as steps."""
-    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-    for s in np.flatnonzero(np.diff(bounds)).tolist():
-        part = order[bounds[s] : bounds[s + 1]]
-        first, *rest = (_least(c[part]) for c in columns)
-        yield kind, s, pack(np.array([x.dtype.itemsize for x in (first, *rest)], np.uint8), steps(first), *rest)
-
-
-def _receive(blobs: list[bytes], n: int) -> list[np.ndarray]:
-    """The n columns of the rows of all blobs."""
-    parts = []
-    for blob in blobs:
-        sizes = unpack(blob, np.uint8)[0].tolist()
-        _, first, *rest = unpack(blob, np.uint8, *({4: np.uint32, 8: np.uint64}[x] for x in sizes))
-        parts.append([np.cumsum(first, dtype=first.dtype), *rest])
-    return [np.concatenate([p[i].astype(np.uint64) for p in parts]) for i in range(n)]
-
-
-_SENT = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
-_KIND = "kind string, shard long, blob binary, sums array<long>"
-
-
-def _rows(sent: list[tuple[str, int, bytes]], sums: list[tuple[str, list[int]]] = ()) -> pa.Table:
-    rows = [(k, s, b, None) for k, s, b in sent] + [(k, 0, None, n) for k, n in sums]
-    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(_SENT.types)], schema=_SENT)
-
-
-class Gathered:
-    """Rows with counts that a task holds until each shard's part is worth a blob."""
-
-    def __init__(self, shards: int):
-        self.most = min(HELD_ROWS, SEND_ROWS * shards)
-        self.parts: list[tuple[list[np.ndarray], np.ndarray]] = []
-        self.size = 0
-
-    def add(self, columns: list[np.ndarray], counts: np.ndarray) -> bool:
-        """Whether it is time to take them."""
-        self.parts.append((columns, counts))
-        self.size += len(counts)
-        return self.size >= self.most
-
-    def take(self) -> tuple[list[np.ndarray], np.ndarray] | None:
-        parts, self.parts, self.size = self.parts, [], 0
-        if len(parts) < 2:
-            return parts[0] if parts else None
-        return _distinct([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
-
-
-def _number_words(rows: DataFrame, uri: str, shards: int, least: int) -> tuple[Vocabulary, int, int]:
-    """The vocabulary, its size, and the tokens; words that occur more than `least` times are frequent.
-
-    A shard numbers its words by falling count; numbers of all shards alternate.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Gathered(shards)
-
-        def send() -> Iterator[pa.RecordBatch]:
-            if (taken := held.take()) is not None:
-                (key,), n = taken
-                yield from _rows(list(_send("words", shards, shard_of(key, shards), [key, n]))).to_batches()
-
-        for block in blocks(batches, "body", BLOCK_BYTES):
-            key, n = np.unique(stream(block.column(0), 1)[0], return_counts=True)
-            if held.add([key], n.astype(np.uint64)):
-                yield from send()
-        yield from send()
-
-    def merge(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        key, n = sum_by(*_receive(table.column("blob").to_pylist(), 2))
-        rank = np.empty(len(n), np.uint64)
-        rank[np.lexsort((key, -n.astype(np.int64)))] = np.arange(len(n), dtype=np.uint64)
-        number = rank * np.uint64(shards) + np.uint64(shard + 1)
-        write_table(uri, _table_name("words", shard), key, [n], _least(number))
-        return _rows([], [("words", [len(n), int(n.sum())]), ("frequent", np.sort(number[n > least]).astype(np.int64).tolist())])
-
-    with tidy(rows.sparkSession):
-        merged = rows.mapInArrow(count, _KIND).groupBy("shard").applyInArrow(merge, _KIND)
-        size, tokens, frequent = merged.agg(  # the few words that are frequent, and two sums
-            F.sum(F.when(F.col("kind") == "words", F.col("sums")[0])), F.sum(F.when(F.col("kind") == "words", F.col("sums")[1])), F.flatten(F.collect_list(F.when(F.col("kind") == "frequent", F.col("sums"))))
-        ).first()
-    often = np.zeros(max([0, *(frequent or [])]) + 2, bool)
-    often[[0, *(frequent or [])]] = True  # that of the opening mark, too
-    return Vocabulary(uri, shards, often), size or 0, tokens or 0
-
-
 def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Count all rows of texts; the arrays go to the shared folder and are removed when the driver ends."""
     spark = texts.sparkSession
@@ -297,14 +145,14 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
     rows = texts.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // (6 * shard_tokens)))
-    words, vocabulary, tokens = _number_words(rows, uri, shards, size // (6 * 4 * shards))
+    words, vocabulary, tokens = number_words(rows, uri, shards, size // (6 * 4 * shards), lambda texts: stream(texts, 1)[0], BLOCK_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(shards)
 
-        def send() -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             if (taken := held.take()) is not None:
-                yield from _rows(list(_send(f"grams{order}", shards, words.route(taken[0]), [*taken[0], taken[1]]))).to_batches()
+                yield from sent_rows(list(send(f"grams{order}", shards, words.route(taken[0]), [*taken[0], taken[1]]))).to_batches()
 
         try:
             for block in blocks(batches, "body", BLOCK_BYTES):
@@ -312,8 +160,8 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
                 kinds, back = np.unique(hashes, return_inverse=True)
                 number = words.of(kinds)[2]  # 0 for the opening mark, as all words are known
                 if held.add(*_counted(number[back.reshape(-1)], at, order)):
-                    yield from send()
-            yield from send()
+                    yield from flush()
+            yield from flush()
         finally:
             forget()
 
@@ -321,17 +169,17 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
         blobs = table.column("blob").to_pylist()
         if kind.startswith("spread"):
-            key, *sums = sum_by(*_receive(blobs, 5))
-            write_table(uri, _table_name(kind, shard), key, sums)
-            return _rows([])
+            key, *sums = sum_by(*receive(blobs, 5))
+            write_table(uri, table_name(kind, shard), key, sums)
+            return sent_rows([])
         k = int(kind.removeprefix("grams"))
-        *columns, counts = _receive(blobs, k + 1)
-        columns, counts = _distinct(columns, counts)
+        *columns, counts = receive(blobs, k + 1)
+        columns, counts = distinct_rows(columns, counts)
         names = [mix(c) for c in columns]
-        write_table(uri, _table_name(kind, shard), row_hashes(names), [counts])
+        write_table(uri, table_name(kind, shard), row_hashes(names), [counts])
         sums = [(kind, [*(int((counts == j).sum()) for j in (1, 2, 3, 4)), int(counts.sum())])]
         if k == 1:
-            return _rows([], sums)
+            return sent_rows([], sums)
         head = np.ones(len(counts), bool)
         head[1:] = False
         for c in columns[:-1]:
@@ -340,20 +188,20 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_toke
         context = row_hashes([n[at] for n in names[:-1]])
         of = [np.add.reduceat(x, at) for x in (counts, *((counts == j).astype(np.uint64) for j in (1, 2)), (counts > 2).astype(np.uint64))]
         spread = words.spread([c[at] for c in columns[:-1]])
-        write_table(uri, _table_name(f"context{k}", shard), context[~spread], [x[~spread] for x in of])
+        write_table(uri, table_name(f"context{k}", shard), context[~spread], [x[~spread] for x in of])
         context, *of = sum_by(context[spread], *(x[spread] for x in of))
-        sent = list(_send(f"spread{k}", shards, shard_of(context, shards), [context, *of]))
+        sent = list(send(f"spread{k}", shards, shard_of(context, shards), [context, *of]))
         lower = columns[1:]
         add = np.where(lower[0] == 0, counts, 1).astype(np.uint64) if k > 2 else np.ones(len(counts), np.uint64)
-        lower, add = _distinct(lower, add)
-        sent += _send(f"grams{k - 1}", shards, words.route(lower), [*lower, add])
-        return _rows(sent, sums)
+        lower, add = distinct_rows(lower, add)
+        sent += send(f"grams{k - 1}", shards, words.route(lower), [*lower, add])
+        return sent_rows(sent, sums)
 
-    sent = rows.mapInArrow(count, _KIND)
+    sent = rows.mapInArrow(count, KIND)
     counts: dict[int, list[int]] = {}
     kinds = 0
     for k in range(order, 0, -1):
-        done = landed(sent.groupBy("kind", "shard").applyInArrow(merge, _KIND), uri, f"sent{k}")
+        done = landed(sent.groupBy("kind", "shard").applyInArrow(merge, KIND), uri, f"sent{k}")
         sums = done.filter(F.col("kind") == f"grams{k}").filter("sums IS NOT NULL").agg(*[F.sum(F.col("sums")[i]) for i in range(5)]).first()
         if sums[0] is not None:
             counts[k] = list(sums[:4])

@@ -3,20 +3,28 @@
 A suffix of a document is the words from one of its words on.  Suffixes that
 start with the same prefix belong to one group; the prefix is one word long
 where few suffixes share it and longer where many do, so that a group fits in
-the memory of a task.  A group's subtree is built down to `min_words` words,
-which suffices: its internal nodes of that depth are the word sequences that
-occur more than once, and a longer repeat is a run of such nodes at
-consecutive words, joined again in the document (a maximal repeat).
-
-How rows move.  A block of documents (a few megabytes) first drops the suffixes
-whose sequence a smaller document of the same block has: they are decided.  So
-a passage or copy that fills a third of the input leaves a block once.  The
-rest goes to the groups as sorted, compressed arrays: a 64-bit hash of the
-sequence and the place in the block.  A group sends back the places whose
-sequence a smaller document has.  The blocks, compressed, meet what came back
-in one more shuffle.  No task holds more than a group or a block.
-
-The input is read three times in the same order: a table as it is, the result
+the memory of a task.  A group's subtree is built from its sorted suffixes and
+the lengths that neighbours have in common: the internal nodes of the tree are
+the intervals of these lengths (Abouelhoda et al., 2004).  An internal node of
+`min_words` words or more is a word sequence that occurs more than once; one
+that different words precede and follow is a maximal repeat.  Below each such
+node the smallest document keeps the words, all others lose them.
+
+Suffixes are cut at `depth` words, as a group cannot hold whole texts; a node
+at the cut may go on.  For removing words this loses nothing, as the words of a
+longer repeat are covered by the nodes of the suffixes that start within it.
+
+How rows move.  Only suffixes whose first `min_words` words occur again can
+lie below such a node.  So first all windows of that length are counted, as 40
+bits of a hash (a chance equality costs a row, no result), and the words get
+numbers (`vocabulary`).  Then a block of documents (a few megabytes) decides
+what a smaller document of the same block has, and sends one suffix of each
+kind to its group, as sorted rows of word numbers; a passage or copy that fills
+a third of the input leaves a block once.  A group sends back the places that
+lose words.  The blocks, compressed, meet what came back in one more shuffle.
+No task holds more than a group or a block.
+
+The input is read several times in the same order: a table as it is, the result
 of a shuffle from a copy that is written first.  A block that comes out
 differently all the same is noticed and raises.
 
@@ -31,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +47,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import pack, steps, unpack
-from .shared import small_batches, steady
-from .words import UNSPACED, Words, blocks, find_words, loose, run_hashes, text_bytes, whole_runs
+from .arrays import forget, lookup, pack, shard_of, steps, sum_by, unpack, write_table
+from .shared import fresh_dir, small_batches, steady, tidy
+from .vocabulary import KIND, Gathered, Vocabulary, least_bytes, merge_words, often, receive, send, sent_rows, table_name, total, words_of
+from .words import UNSPACED, Words, blocks, find_words, loose, mix, row_hashes, run_hashes, text_bytes, whole_runs
 
-#: Words of a window; bytes of text in a block; suffixes a group should have at most; groups at least.
-MIN_WORDS, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS = 13, 6 << 20, 1_500_000, 64
+#: Words of a window; words of a suffix that its group gets; bytes of text in a block; suffixes a group should have at most; groups and shards at least.
+MIN_WORDS, DEPTH, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS, LEAST_SHARDS = 13, 16, 6 << 20, 1_000_000, 24, 48
 _CLASSES = 1 << 16  # of prefixes of one length, in the census
+_FEW = np.uint64((1 << 40) - 1)  # bits of a window's hash that are counted
 
 
 class Block:
@@ -57,7 +68,8 @@ class Block:
         self.order = np.argsort(values, kind="stable")
         self.batch = batch.take(pa.array(self.order))
         self.ids, self.known = values[self.order].astype(np.int64), self.known[self.order]
-        self.words: Words = find_words(*text_bytes(self.batch.column(1)), UNSPACED)
+        data, self.offsets = text_bytes(self.batch.column(1))
+        self.words: Words = find_words(data, self.offsets, UNSPACED)
         self.min_words = min_words
         self.name = xxhash.xxh64_hexdigest(self.ids.tobytes() + self.words.starts.tobytes()) + xxhash.xxh64_hexdigest(self.words.data.tobytes())
 
@@ -101,93 +113,285 @@ class Prefixes:
         return out
 
 
-def prefixes(rows: DataFrame, min_words: int, group_suffixes: int) -> Prefixes:
-    """A census of all suffixes: classes of prefixes of which there are more than half a group get one more word."""
+@dataclass
+class Survey:
+    """What a first reading of all documents found: the windows that occur again, the words and their numbers."""
+
+    uri: str
+    shards: int
+    words: Vocabulary
+    suffixes: int  # places of windows that occur again
+
+    def again(self, runs: np.ndarray) -> np.ndarray:
+        """Whether a window occurs again (or, by chance, does not)."""
+        return lookup(self.uri, "again", shard_of(runs, self.shards), runs & _FEW, 1)[0]
+
+
+def survey(rows: DataFrame, min_words: int, block_bytes: int) -> Survey:
+    uri = fresh_dir(rows.sparkSession, "suffixes")
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    groups = max(LEAST_GROUPS, -(-size // (6 * group_suffixes)))
+    shards = min(max(LEAST_SHARDS, -(-size // (24 << 20))), 1 << 24)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, words = Gathered(shards), Gathered(shards)
+
+        def flush(held: Gathered, kind: str) -> Iterator[pa.RecordBatch]:
+            if (taken := held.take()) is None:
+                return
+            (key,), n = taken
+            shard = (key >> np.uint64(40)).astype(np.int64) if kind == "again" else shard_of(key, shards)
+            yield from sent_rows(list(send(kind, shards, shard, [key & _FEW if kind == "again" else key, n]))).to_batches()
+
+        for batch in blocks(batches, "body", block_bytes):
+            block = Block(batch, min_words)
+            _, _, runs, h = block.windows()
+            key, n = np.unique((shard_of(runs, shards).astype(np.uint64) << np.uint64(40)) | (runs & _FEW), return_counts=True)
+            if windows.add([key], n.astype(np.uint64)):
+                yield from flush(windows, "again")
+            if words.add(*words_of(h)):
+                yield from flush(words, "words")
+        yield from flush(windows, "again")
+        yield from flush(words, "words")
+
+    def merge(table: pa.Table) -> pa.Table:
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        blobs = table.column("blob").to_pylist()
+        if kind == "words":
+            return sent_rows([], merge_words(uri, shards, shard, blobs, 1 << 62))
+        key, n = sum_by(*receive(blobs, 2))
+        more = n > 1
+        write_table(uri, table_name("again", shard), key[more], [np.ones(int(more.sum()), np.uint8)])
+        return sent_rows([], [("again", [int(n[more].sum())])])
+
+    with tidy(rows.sparkSession):
+        merged = rows.mapInArrow(count, KIND).groupBy("kind", "shard").applyInArrow(merge, KIND)
+        suffixes = merged.agg(total("again", 0)).first()[0] or 0
+    return Survey(uri, shards, Vocabulary(uri, shards, often(None)), suffixes)
+
+
+def prefixes(rows: DataFrame, found: Survey, min_words: int, group_suffixes: int, block_bytes: int) -> Prefixes:
+    """A census of the suffixes that occur again: classes of prefixes of which there are more than half a group get one more word."""
+    groups = max(LEAST_GROUPS, -(-found.suffixes // group_suffixes))
     least = 1 + (groups > 1000) + (groups > 1_000_000)
     local = max(1e-5, 1 / (8 * groups))  # a prefix below this share of a block is not worth a row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in blocks(batches, "body", BLOCK_BYTES):
-            block = Block(batch, min_words)
-            h = block.words.hashes()
-            at = whole_runs(block.words, min_words)
-            floor = max(2, int(local * len(at)))
-            for length in range(least, min_words):
-                if not len(at):
-                    break
-                kind = (run_hashes(h, length)[at] >> np.uint64(48)).astype(np.int64)
-                counts = np.bincount(kind, minlength=_CLASSES)
-                many = counts >= floor
-                total[length] = total.get(length, 0) + np.where(many, counts, 0)
-                at = at[many[kind]]
-        for length, counts in total.items():
+        counted: dict[int, np.ndarray] = {}
+        try:
+            for batch in blocks(batches, "body", block_bytes):
+                at, _, runs, h = Block(batch, min_words).windows()
+                at = at[found.again(runs)]
+                floor = max(2, int(local * len(at)))
+                for length in range(least, min_words):
+                    if not len(at):
+                        break
+                    kind = (run_hashes(h, length)[at] >> np.uint64(48)).astype(np.int64)
+                    counts = np.bincount(kind, minlength=_CLASSES)
+                    many = counts >= floor
+                    counted[length] = counted.get(length, 0) + np.where(many, counts, 0)
+                    at = at[many[kind]]
+        finally:
+            forget()
+        for length, counts in counted.items():
             kind = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), length)), pa.array(kind), pa.array(counts[kind])], ["length", "class", "n"])
 
     census = rows.mapInArrow(count, "length long, class long, n long").groupBy("length", "class").agg(F.sum("n").alias("n"))
     heavy: dict[int, np.ndarray] = {}
-    limit = max(1, size // (6 * 2 * groups))
+    limit = max(1, found.suffixes // (2 * groups))
     for length, kind in census.filter(F.col("n") > limit).select("length", "class").collect():  # at most 2 * groups of each length
         heavy.setdefault(length, np.zeros(_CLASSES, bool))[kind] = True
     return Prefixes(heavy, least, min_words, groups)
 
 
-def _decided(rows: DataFrame, split: Prefixes, min_words: int, block_bytes: int) -> DataFrame:
+def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of numbers as fewer columns of the same order."""
+    bits = max([1, *(int(c.max(initial=0)).bit_length() for c in columns)])
+    take = max(1, 63 // bits)
+    out = []
+    for i in range(0, len(columns), take):
+        key = columns[i].astype(np.uint64)
+        for c in columns[i + 1 : i + take]:
+            key = (key << np.uint64(bits)) | c.astype(np.uint64)
+        out.append(key)
+    return out
+
+
+def sort_suffixes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (columns of word numbers, 0 after the last word), and how many words each has in common with the one before."""
+    order = np.lexsort(_packed(columns)[::-1])
+    common, still = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+    for c in columns:
+        c = c[order]
+        still &= (c[1:] == c[:-1]) & (c[1:] != 0)
+        common[1:] += still
+    return order, common
+
+
+def _heads(common: np.ndarray, depth: int) -> np.ndarray:
+    """Where the intervals of suffixes begin that have `depth` words in common."""
+    head = common < depth
+    head[:1] = True
+    return np.flatnonzero(head)
+
+
+def internal_nodes(common: np.ndarray, least: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, begin, end) of the intervals of sorted suffixes that are internal nodes of `least` words or more; those of `depth` words may go on."""
+    for d in range(least, depth + 1):
+        begin = _heads(common, d)
+        inner = np.append(common, depth + 1)
+        inner[begin] = depth + 1
+        end = np.append(begin[1:], len(common))
+        wide = end - begin > 1
+        begin, end = begin[wide], end[wide]
+        if not len(begin):
+            return
+        branch = np.minimum.reduceat(inner, np.stack([begin, end], 1).reshape(-1))[::2]
+        yield d, begin[branch == d], end[branch == d]
+
+
+def _leaves(block: Block, found: Survey, split: Prefixes, depth: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Places of a block that lose words to a smaller document of the block; for each group the suffixes it gets.
+
+    Of suffixes with the same words and the same word before, that of the
+    smallest document goes, with their number.
+    """
+    at, document, runs, h = block.windows()
+    use = found.again(runs)
+    at, document, runs = at[use], document[use], runs[use]
+    _, back = _first_of(runs)
+    mine = block.ids[document]
+    here = at[mine > mine[back]]
+    kinds, number = np.unique(h, return_inverse=True)
+    number = found.words.of(kinds)[2][number.reshape(-1)]
+    end, begin = block.words.first[document + 1], block.words.first[document]
+    columns = [np.where(at + j < end, number[np.minimum(at + j, len(number) - 1)], 0) for j in range(depth)] if len(at) else []
+    if not len(at):
+        return here, []
+    before = np.where(at > begin, number[np.maximum(at - 1, 0)], 0)
+    pick, same = _first_of(row_hashes([mix(c) for c in (*columns, before)]))
+    count = np.bincount(same, minlength=len(at))[pick].astype(np.uint64)
+    columns, before, at, document = [least_bytes(c[pick]) for c in columns], least_bytes(before[pick]), at[pick], document[pick]
+    group = split.group(h, at)
+    sort = np.lexsort([*_packed(columns)[::-1], group])
+    bounds = np.searchsorted(group[sort], np.arange(split.groups + 1))
+    out = []
+    for g in np.flatnonzero(np.diff(bounds)).tolist():
+        part = sort[bounds[g] : bounds[g + 1]]
+        who, row = np.unique(document[part], return_inverse=True)
+        inside = (at[part] - block.words.first[document[part]]).astype(np.uint32)
+        ids = block.ids[who]
+        out.append((g, pack(np.array([c.dtype.itemsize for c in (*columns, before)], np.uint8), steps(columns[0][part]), *(c[part] for c in (*columns[1:], before)), row.reshape(-1).astype(np.uint32), inside, least_bytes(count[part]).astype(np.uint32), steps(ids), steps(block.words.first[who].astype(np.uint32)))))
+    return here, out
+
+
+@dataclass
+class Leaves:
+    """Suffixes of a group: word numbers, the word before, how many there are, document id, word in the document, place in the block, blob."""
+
+    columns: list[np.ndarray]
+    before: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+    blob: np.ndarray
+
+    @classmethod
+    def of(cls, blobs: list[bytes], depth: int) -> Leaves:
+        parts = []
+        for i, blob in enumerate(blobs):
+            sizes = unpack(blob, np.uint8)[0].tolist()
+            _, first, *rest = unpack(blob, np.uint8, *({4: np.uint32, 8: np.uint64}[x] for x in sizes), np.uint32, np.uint32, np.uint32, np.int64, np.uint32)
+            row, inside, count, ids, starts = rest[depth:]
+            parts.append([np.cumsum(first, dtype=first.dtype), *rest[:depth], count, np.cumsum(ids)[row], inside, np.cumsum(starts, dtype=np.uint32)[row] + inside, np.full(len(row), i)])
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return cls(joined[:depth], *joined[depth:])
+
+
+def _decided(rows: DataFrame, found: Survey, split: Prefixes, min_words: int, depth: int, block_bytes: int) -> DataFrame:
     """(block, places): words of a block from which a window starts that a smaller document has."""
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "body", block_bytes):
-            block = Block(batch, min_words)
-            at, document, runs, h = block.windows()
-            first, back = _first_of(runs)
-            mine = block.ids[document]
-            here = at[mine > mine[back]]
-            out = [(-1, block.name, pack(steps(here.astype(np.uint32))), b"")]
-            group = split.group(h, at[first])
-            sort = np.argsort(group, kind="stable")
-            bounds = np.searchsorted(group[sort], np.arange(split.groups + 1))
-            about = pack(steps(block.ids), steps(block.words.first.astype(np.uint32)))
-            for g in np.flatnonzero(np.diff(bounds)).tolist():
-                part = first[sort[bounds[g] : bounds[g + 1]]]
-                out.append((g, block.name, pack(steps(runs[part]), at[part].astype(np.uint32)), about))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["grp", "block", "places", "about"])
+        try:
+            for batch in blocks(batches, "body", block_bytes):
+                block = Block(batch, min_words)
+                here, sent = _leaves(block, found, split, depth)
+                out = [(-1, block.name, pack(steps(here.astype(np.uint32)))), *((g, block.name, blob) for g, blob in sent)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["grp", "block", "places"])
+        finally:
+            forget()
 
     def subtree(table: pa.Table) -> pa.Table:
-        names, blobs, about = (table.column(c).to_pylist() for c in ("block", "places", "about"))
+        names, blobs = (table.column(c).to_pylist() for c in ("block", "places"))
         if table.column("grp")[0].as_py() < 0:  # places that a block has decided itself
             return pa.table({"block": names, "places": pa.array(blobs, pa.binary())})
-        parts = []
-        for i, blob in enumerate(blobs):
-            leaves, at = unpack(blob, np.uint64, np.uint32)
-            ids, first = unpack(about[i], np.int64, np.uint32)
-            ids, first = np.cumsum(ids), np.cumsum(first, dtype=np.uint32)
-            parts.append((np.cumsum(leaves, dtype=np.uint64), at, ids[np.searchsorted(first, at, "right") - 1]))
-        size = np.cumsum([0, *(len(x[1]) for x in parts)])
-        leaf, at, ids = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        del parts
-        order = np.argsort(leaf, kind="stable")
-        node = np.ones(len(leaf), bool)
-        node[1:] = leaf[order[1:]] != leaf[order[:-1]]
-        node = np.flatnonzero(node)
-        smallest = np.repeat(np.minimum.reduceat(ids[order], node), np.diff(np.append(node, len(leaf)))) if len(leaf) else ids
-        again = np.zeros(len(leaf), bool)
-        again[order] = ids[order] > smallest
+        leaves = Leaves.of(blobs, depth)
+        order, common = sort_suffixes(leaves.columns)
+        # What lies below a node of min_words words: any deeper node lies below one of these, whose smallest document is no greater.
+        begin = _heads(common, min_words)
+        ids = leaves.ids[order]
+        smallest = np.repeat(np.minimum.reduceat(ids, begin), np.diff(np.append(begin, len(ids))))
+        again = np.zeros(len(ids), bool)
+        again[order] = ids > smallest
         out = []
-        for i, name in enumerate(names):
-            mine = at[size[i] : size[i + 1]][again[size[i] : size[i + 1]]]
-            if len(mine):
-                out.append((name, pack(steps(np.sort(mine)))))
+        for i in np.unique(leaves.blob[again]).tolist():
+            out.append((names[i], pack(steps(np.sort(leaves.place[again & (leaves.blob == i)])))))
         return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "places": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = rows.select("id", "body").mapInArrow(leave, "grp long, block string, places binary, about binary")
+    sent = rows.select("id", "body").mapInArrow(leave, "grp long, block string, places binary")
     # What blocks decided themselves needs no group; spread by block it only passes through.
     key = F.when(F.col("grp") < 0, -1 - F.pmod(F.xxhash64("block"), F.lit(4096))).otherwise(F.col("grp"))
     return sent.withColumn("grp", key).groupBy("grp").applyInArrow(subtree, "block string, places binary")
 
 
+def _maximal(leaves: Leaves, min_words: int, depth: int) -> Iterator[tuple]:
+    """(words, goes on, occurrences, smallest id, word there) of the maximal repeats of a group."""
+    twice = np.repeat(np.arange(len(leaves.count)), np.minimum(leaves.count, 2))  # suffixes that are equal in all their words are neighbours, too
+    first = np.ones(len(twice), bool)
+    first[1:] = twice[1:] != twice[:-1]
+    order, common = sort_suffixes([c[twice] for c in leaves.columns])
+    at = twice[order]
+    count = np.where(first, leaves.count[twice] - (np.minimum(leaves.count[twice], 2) - 1), 1)[order].astype(np.int64)
+    before, ids, word = leaves.before[at].astype(np.int64), leaves.ids[at], leaves.word[at]
+    for d, begin, end in internal_nodes(common, min_words, depth):
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            own = before[a:b]
+            if own.min() == own.max() != 0:
+                continue  # one word precedes all of them
+            least = a + int(np.lexsort((word[a:b], ids[a:b]))[0])
+            yield d, d == depth, int(count[a:b].sum()), int(ids[least]), int(word[least])
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, depth: int = 64, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """(n_words, goes_on, occurrences, id, word): word sequences of `min_words` words or more that occur more than once and cannot be made longer.
+
+    id and word say where one is: in the document of the smallest id, from
+    this word on.  goes_on: the repeat is cut at `depth` words.  Rows with a
+    null id are left out.  A group holds `depth` numbers for each suffix.
+    """
+    small_batches(docs.sparkSession)
+    docs = steady(docs)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
+    found = survey(rows, min_words, block_bytes)
+    split = prefixes(rows, found, min_words, group_suffixes, block_bytes)
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in blocks(batches, "body", block_bytes):
+                _, sent = _leaves(Block(batch, min_words), found, split, depth)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.binary())], ["grp", "blob"])
+        finally:
+            forget()
+
+    def nodes(table: pa.Table) -> pa.Table:
+        out = list(_maximal(Leaves.of(table.column("blob").to_pylist(), depth), min_words, depth))
+        kinds = [("n_words", pa.int64()), ("goes_on", pa.bool_()), ("occurrences", pa.int64()), ("id", pa.int64()), ("word", pa.int64())]
+        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(kinds)})
+
+    return rows.mapInArrow(leave, "grp long, blob binary").groupBy("grp").applyInArrow(nodes, "n_words long, goes_on boolean, occurrences long, id long, word long")
+
+
 def _cut(block: Block, places: list[np.ndarray]) -> np.ndarray:
     """Which words of a block are covered by a decided window."""
     at, document, runs, _ = block.windows()
@@ -229,44 +433,37 @@ def _digests(words: Words, gone: np.ndarray) -> list[str]:
     return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _texts(words: Words, gone: np.ndarray, texts: pa.Array) -> pa.Array:
+def _texts(block: Block, gone: np.ndarray, texts: pa.Array) -> pa.Array:
     """The texts without the words that go, and without the space after each such run."""
-    out = None
+    words, out = block.words, None
     for d in np.unique(words.documents()[gone]).tolist():
         a, b = int(words.first[d]), int(words.first[d + 1])
         out = texts.to_pylist() if out is None else out
         stay = np.flatnonzero(~gone[a:b]) + a
-        nxt = np.append(words.starts[a + 1 : b], words.ends[b - 1])
+        nxt = np.append(words.starts[a + 1 : b], block.offsets[d + 1])
         raw = words.data
-        lead = raw[words.starts[a] - _lead(words, d) : words.starts[a]].tobytes()
+        lead = raw[block.offsets[d] : words.starts[a]].tobytes()  # the space before the first word
         pieces = [raw[words.starts[i] : nxt[i - a]].tobytes() for i in stay]
         out[d] = (lead + b"".join(pieces)).decode("utf-8")
     return texts if out is None else pa.array(out, pa.string())
 
 
-def _lead(words: Words, d: int) -> int:
-    """Bytes of space before the first word of document d."""
-    at = int(words.starts[words.first[d]])
-    start = at
-    floor = int(words.ends[words.first[d] - 1]) if words.first[d] else 0
-    while start > floor and not UNSPACED[words.data[start - 1]]:
-        start -= 1
-    return at - start if start == floor and not words.first[d] else 0
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, digest: bool = False, drop_emptied: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, depth: int | None = None, digest: bool = False, drop_emptied: bool = False) -> DataFrame:
     """Documents without the words that a window of `min_words` covers which also starts in a document of smaller id.
 
     Windows are judged on the input.  Returns the columns of docs, the text
     replaced; with `digest` instead (id, n_words, n_removed, kept_sha256).
     drop_emptied: leave out documents that had words and lose all of them.
+    depth: words of a suffix that its group gets (a few more than min_words).
     """
     small_batches(docs.sparkSession)
     docs = steady(docs)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"), own.alias("own"))
-    split = prefixes(rows.select("id", "body"), min_words, group_suffixes)
-    found = _decided(rows, split, min_words, block_bytes)
+    bodies = rows.select("id", "body")
+    known = survey(bodies, min_words, block_bytes)
+    split = prefixes(bodies, known, min_words, group_suffixes, block_bytes)
+    found = _decided(rows, known, split, min_words, min_words + DEPTH - MIN_WORDS if depth is None else depth, block_bytes)
     keep = [] if digest else ["own"]
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if digest:
             out = pa.table({"id": block.batch.column(0), "n_words": block.words.counts, "n_removed": removed, "kept_sha256": _digests(block.words, gone)})
         else:
-            text = _texts(block.words, gone, block.batch.column(1))
+            text = _texts(block, gone, block.batch.column(1))
             own_ = loose(block.batch.column(block.batch.schema.get_field_index("own")))
             old = own_.field(text_at)
             fields = [text if i == text_at else own_.field(i) for i in range(own_.type.num_fields)]
