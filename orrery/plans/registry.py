@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, geometry_queries, series_queries
+from . import catalog_queries, geometry_queries, series_queries, source_queries
 
-_PARTS = (catalog_queries, series_queries, geometry_queries)
+_PARTS = (catalog_queries, series_queries, geometry_queries, source_queries)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

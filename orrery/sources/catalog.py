@@ -33,8 +33,13 @@ def check(raw: DataFrame, context: str = "") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, context: str = "") -> DataFrame:
-    """Typed rows of a schema; GP_ID_ORIG is the same as GP_ID, ingested_at is now."""
-    rows = check(records(spark, path, schema), context)
+    """Typed rows of landed files."""
+    return typed(records(spark, path, schema), schema, context)
+
+
+def typed(raw: DataFrame, schema: T.StructType, context: str = "") -> DataFrame:
+    """Typed rows of a schema from records that are all text; GP_ID_ORIG is the same as GP_ID, ingested_at is now."""
+    rows = check(raw, context)
     columns = []
     for f in schema:
         if f.name == "ingested_at":
@@ -48,7 +53,12 @@ def read(spark: SparkSession, path: str, schema: T.StructType, context: str = ""
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """Element sets of a full pull: objects that have not decayed, by object."""
-    return read(spark, path, GP, "elements").filter(F.col("DECAY_DATE").isNull()).orderBy("NORAD_CAT_ID")
+    return flying(read(spark, path, GP, "elements")).orderBy("NORAD_CAT_ID")
+
+
+def flying(rows: DataFrame) -> DataFrame:
+    """Objects that have not decayed."""
+    return rows.filter(F.col("DECAY_DATE").isNull())
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -57,23 +67,34 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def newer(spark: SparkSession, path: str, watermark: str) -> DataFrame:
     """Element sets of an incremental pull: epochs after the last."""
-    return read(spark, path, GP, "update").filter(F.col("EPOCH") > F.lit(watermark).cast("timestamp_ntz"))
+    return after(read(spark, path, GP, "update"), watermark)
+
+
+def after(rows: DataFrame, watermark: str) -> DataFrame:
+    return rows.filter(F.col("EPOCH") > F.lit(watermark).cast("timestamp_ntz"))
 
 
 def newer_by_object(spark: SparkSession, path: str, gp: DataFrame) -> DataFrame:
+    """Landed element sets that are `ahead` of gp."""
+    return ahead(read(spark, path, GP, "update"), gp)
+
+
+def ahead(rows: DataFrame, gp: DataFrame) -> DataFrame:
     """Element sets newer than the one that gp has of the same object, and those of objects it does not have.
 
     One object whose epoch runs ahead holds back no other.
     """
     latest = gp.groupBy("NORAD_CAT_ID").agg(F.max("EPOCH").alias("__latest"))
-    found = read(spark, path, GP, "update").join(latest, "NORAD_CAT_ID", "left")
-    return found.filter(F.col("__latest").isNull() | (F.col("EPOCH") > F.col("__latest"))).select(GP.names)
+    return rows.join(latest, "NORAD_CAT_ID", "left").filter(F.col("__latest").isNull() | (F.col("EPOCH") > F.col("__latest"))).select(rows.columns)
 
 
 def between(spark: SparkSession, path: str, norad: int, start: str, end: str) -> DataFrame:
     """Element sets of one object from one day through another."""
-    day = F.to_date("EPOCH")
-    return read(spark, path, GP, "history").filter((F.col("NORAD_CAT_ID") == norad) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return of_days(read(spark, path, GP, "history"), norad, start, end)
+
+
+def of_days(rows: DataFrame, norad: int, start: str, end: str) -> DataFrame:
+    return rows.filter((F.col("NORAD_CAT_ID") == norad) & F.to_date("EPOCH").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def backfill(spark: SparkSession, history: DataFrame, path: str, norad: int, start: str, end: str) -> tuple[DataFrame, DataFrame]:

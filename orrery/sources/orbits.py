@@ -13,9 +13,13 @@ def tle_text(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole, as its lines only mean something in order.
     """
-    files = spark.read.text(path, wholetext=True)
+    return tle_records(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def tle_records(files: DataFrame) -> DataFrame:
+    """(file, line, name, line1, line2, epoch) of whole files (file, value)."""
     lines = F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = files.select(F.input_file_name().alias("file"), lines.alias("l")).select("file", "l", F.posexplode("l").alias("i", "line1"))
+    rows = files.select("file", lines.alias("l")).select("file", "l", F.posexplode("l").alias("i", "line1"))
     first, second = F.col("line1").startswith("1 "), F.coalesce(F.get("l", F.col("i") + 1).startswith("2 "), F.lit(False))
     before = F.when(F.col("i") > 0, F.get("l", F.col("i") - 1))
     title = before.isNotNull() & ~before.startswith("1 ") & ~before.startswith("2 ")
@@ -34,8 +38,15 @@ def precise_orbit(spark: SparkSession, path: str) -> DataFrame:
 
 def conjunction_messages(spark: SparkSession, path: str) -> DataFrame:
     """Typed messages; metres become kilometres, a missing or blank probability is null, a time that cannot be read raises."""
-    names = ["CDM_ID", "TCA", "MIN_RNG", "PC", "SAT_1_ID", "SAT_1_NAME", "SAT1_OBJECT_TYPE", "SAT1_RCS", "SAT_2_ID", "SAT_2_NAME", "SAT2_OBJECT_TYPE", "SAT2_RCS"]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path, multiLine=True, primitivesAsString=True)
+    return typed_messages(spark.read.schema(", ".join(f"{n} string" for n in MESSAGE)).json(path, multiLine=True, primitivesAsString=True))
+
+
+# Fields of a conjunction message.
+MESSAGE = ["CDM_ID", "TCA", "MIN_RNG", "PC", "SAT_1_ID", "SAT_1_NAME", "SAT1_OBJECT_TYPE", "SAT1_RCS", "SAT_2_ID", "SAT_2_NAME", "SAT2_OBJECT_TYPE", "SAT2_RCS"]
+
+
+def typed_messages(raw: DataFrame) -> DataFrame:
+    """`conjunction_messages` from records that are all text."""
     number = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")).cast("double")
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     at = parse_time(F.col("TCA"))
