@@ -30,8 +30,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[list[str]], order:
         known = F.col(key[0]).isNotNull()
         for c in key[1:]:
             known = known & F.col(c).isNotNull()
-        w = Window.partitionBy(*key).orderBy(F.col("__src"), F.col("__seq"))
-        both = both.withColumn(f"__later{i}", known & F.lead(F.lit(True), 1, False).over(w))
+        # Rows without a key share nothing, so each is dealt by itself.
+        both = both.withColumn("__alone", F.when(~known, F.monotonically_increasing_id()))
+        w = Window.partitionBy(*key, "__alone").orderBy(F.col("__src"), F.col("__seq"))
+        both = both.withColumn(f"__later{i}", known & F.lead(F.lit(True), 1, False).over(w)).drop("__alone")
     for i in range(len(keys)):
         both = both.filter(~F.col(f"__later{i}"))
     return both.drop("__src", "__seq", *[f"__later{i}" for i in range(len(keys))])

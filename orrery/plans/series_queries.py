@@ -341,6 +341,18 @@ def tasking_schedule(spark, sf):
     return schedule.choose(weighted).groupBy("sensor").agg(F.count_if("selected").alias("selected"), F.sum(F.when(F.col("selected"), F.col("weight"))).alias("weight"))
 
 
+@query(f"""WITH RECURSIVE {INTERVALS}, w AS (SELECT sensor, event_id, epoch_us(t_aos) // 1000000 AS s, greatest(epoch_us(t_los) // 1000000, epoch_us(t_aos) // 1000000 + 15) AS e,
+  CAST(floor(floor(greatest(0.0, (epoch_us(t_aos) - epoch_us(coalesce(lag(t_aos) OVER (PARTITION BY norad_id ORDER BY t_aos, event_id), TIMESTAMP '2024-01-01'))) / 1000000.0)) / 60) AS BIGINT) AS weight FROM iv),
+o AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY e, s, event_id) AS k FROM w), m AS (SELECT sensor, e AS t, 0 AS kind, 1 AS n, CAST(NULL AS BIGINT) AS k FROM o UNION ALL SELECT sensor, s, 1, 0, k FROM o),
+c AS (SELECT sensor, kind, k, CAST(sum(n) OVER (PARTITION BY sensor ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS BIGINT) AS j FROM m), j AS (SELECT o.sensor, o.k, o.weight, c.j FROM o JOIN c ON c.kind = 1 AND c.sensor = o.sensor AND c.k = o.k),
+r AS (SELECT DISTINCT sensor, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT)] AS v FROM w UNION ALL SELECT r.sensor, r.k + 1, list_append(r.v, greatest(r.v[r.k + 1], r.v[j.j + 1] + j.weight)) FROM r JOIN j ON j.sensor = r.sensor AND j.k = r.k + 1)
+SELECT sensor, arg_max(v[k + 1], k) AS weight FROM r GROUP BY 1""")
+def schedule_value(spark, sf):
+    """The greatest sum of weights without overlap, which is one, whatever windows give it."""
+    weighted = schedule.weights(intervals(spark, sf), F.lit("2024-01-01").cast("timestamp_ntz"), tie="event_id")
+    return schedule.choose(weighted).groupBy("sensor").agg(F.sum(F.when(F.col("selected"), F.col("weight")).otherwise(0)).alias("weight"))
+
+
 @query(f"""WITH {LATEST} SELECT "OBJECT_TYPE" AS object_type, round(quantile_cont("PERIAPSIS", 0.95), 6) AS p95 FROM gp GROUP BY 1""")
 def percentile_95(spark, sf):
     return latest(spark, sf).groupBy(F.col("OBJECT_TYPE").alias("object_type")).agg(F.round(F.percentile("PERIAPSIS", F.lit(0.95)), 6).alias("p95"))
