@@ -24,25 +24,29 @@ from orrery.llm.shared import fresh_dir
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the score of the bias; a score of just 0.5 is toxic; rows without an id are judged, too; equal texts go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without words are copies of each other; rows without an id stay; of rows that repeat an id each has its own group, and one row of each group stays."""
     return simhash.drop_similar(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
+    """n_chars follows the text; null texts stay null; rows without an id, and rows that repeat an id among themselves, take no words from each other."""
     kept = repeats.remove_repeats(docs, drop_emptied=True)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts, and items without words, match nothing; items without an id count; each row is judged by itself."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text is one end token; rows that repeat an id are packed each; documents of equal length are packed in the order of their ids."""
     return packing.packing_query(docs)
 
 
