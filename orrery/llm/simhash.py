@@ -303,21 +303,36 @@ def apart_links(shingle: np.ndarray, place: np.ndarray, row: np.ndarray, size: n
     run, place, row = run[some], place[some], row[some]
     found, tested = [], set()
     at, step = np.arange(len(run)), 1
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    up, joined = parent.tolist(), -1
     while len(at):
+        if len(found) != joined:  # runs that lie in one group by now have nothing to decide any more
+            joined, parent = len(found), np.array(up, np.int64)
+            while ((flat := parent[parent]) != parent).any():
+                parent = flat
+            mine, begin = parent[row], np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            several = np.minimum.reduceat(mine, begin) < np.maximum.reduceat(mine, begin)
+            at = at[np.repeat(several, np.diff(np.append(begin, len(run))))[at]]
         at = at[at + step < len(run)]
         at = at[run[at] == run[at + step]]
         a, b, i, j = row[at], row[at + step], place[at], place[at + step]
         shared = np.minimum(size[a] - i, size[b] - j)  # if this one is the first
         near = (parent[a] != parent[b]) & (shared >= least / (1 + least) * (size[a] + size[b]) - 1e-9) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
         for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            if parent[x] == parent[y] or (x, y) in tested:
+            one, two = top(x), top(y)
+            if one == two or (x, y) in tested:
                 continue
             if len(tested) >= AT_ONCE:
                 tested.clear()  # what is forgotten is decided again
             tested.add((x, y))
             if alike(x, y):
                 found.append((x, y))
-                parent[parent == max(parent[x], parent[y])] = min(parent[x], parent[y])
+                up[max(one, two)] = min(one, two)
         step += 1
     return found
 
