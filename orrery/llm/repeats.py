@@ -53,7 +53,7 @@ from .vocabulary import KIND, Gathered, Vocabulary, least_bytes, merge_words, of
 from .words import UNSPACED, Words, blocks, find_words, loose, mix, row_hashes, run_hashes, text_bytes, whole_runs
 
 #: Words of a window; words of a suffix that its group gets; bytes of text in a block; suffixes a group should have at most; groups and shards at least.
-MIN_WORDS, DEPTH, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS, LEAST_SHARDS = 13, 16, 6 << 20, 1_000_000, 24, 48
+MIN_WORDS, DEPTH, BLOCK_BYTES, GROUP_SUFFIXES, LEAST_GROUPS, LEAST_SHARDS = 13, 16, 6 << 20, 500_000, 24, 48
 _CLASSES = 1 << 16  # of prefixes of one length, in the census
 _FEW = np.uint64((1 << 40) - 1)  # bits of a window's hash that are counted
 
@@ -305,7 +305,11 @@ class Leaves:
             _, first, *rest = unpack(blob, np.uint8, *({4: np.uint32, 8: np.uint64}[x] for x in sizes), np.uint32, np.uint32, np.uint32, np.int64, np.uint32)
             row, inside, count, ids, starts = rest[depth:]
             parts.append([np.cumsum(first, dtype=first.dtype), *rest[:depth], count, np.cumsum(ids)[row], inside, np.cumsum(starts, dtype=np.uint32)[row] + inside, np.full(len(row), i)])
-        joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        joined = []
+        for i in range(len(parts[0])):
+            joined.append(np.concatenate([p[i] for p in parts]))
+            for p in parts:
+                p[i] = None
         return cls(joined[:depth], *joined[depth:])
 
 
