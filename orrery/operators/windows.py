@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,37 +102,54 @@ def since_previous(rows: DataFrame, by: list[str], time: str, start: Column, tie
     return F.greatest(F.lit(0.0), seconds_between(F.coalesce(F.lag(time).over(w), start), F.col(time)))
 
 
+def _sweep(spans: list[tuple[int, int, object]], begin: int, end: int) -> Iterator[tuple[int, int, list]]:
+    """(from, to, items) of the stretches within [begin, end) in which two items or more are active; neighbours differ in their items."""
+    moments = sorted([(max(s, begin), 1, x) for s, _, x in spans] + [(min(e, end), 0, x) for _, e, x in spans], key=lambda m: m[:2])
+    active: dict[object, int] = {}
+    since, held = begin, None
+    for t, starts, x in moments:
+        if t > since:
+            now = sorted(active) if len(active) > 1 else None
+            if held and held[2] == now:
+                held = (held[0], t, now)
+            else:
+                if held:
+                    yield held
+                held = (since, t, now) if now else None
+            since = t
+        active[x] = active.get(x, 0) + (1 if starts else -1)
+        if not active[x]:
+            del active[x]
+    if held:
+        yield held
+
+
 def concurrent(intervals: DataFrame, by: list[str], start: str, end: str, item: str) -> DataFrame:
     """Stretches during which two items or more are active: (by, from, to, items, n), neighbours with equal items as one.
 
-    A sweep over starts and ends; at one time ends come before starts.  The
-    items of a stretch are collected per stretch, whose number of items is the
-    number of intervals active at once.
+    A sweep over starts and ends that carries the items that are active; at one
+    time ends come before starts.  A key may have a third of all intervals, so
+    each of its days is swept apart, by the intervals that touch it, and what
+    goes on over midnight is joined after that.  Intervals without an item, a
+    start or an end, or that end when they start, are active in no stretch.
     """
-    keys = [F.col(c) for c in by]
-    day = F.floor(micros(F.col("t")) / F.lit(86_400_000_000)).alias("__b")
-    events = intervals.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionAll(intervals.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    moments = events.groupBy(*by, "t").agg(F.sum("d").alias("d")).select("*", day)
-    # A sensor may have a third of all windows: sums run within its days, and the days' sums are carried on.
-    w = Window.partitionBy(*by, "__b").orderBy("t")
-    moments = carried(moments, by, "__b", {"__d": F.sum("d")}, {"__before": F.sum("__d")})
-    firsts = moments.groupBy(*by, "__b").agg(F.min("t").alias("__t"))
-    firsts = firsts.select(*[F.col(c).alias(f"__f_{c}") for c in (*by, "__b")], F.lead("__t").over(Window.partitionBy(*by).orderBy("__b")).alias("__next"))
-    same = F.lit(True)
-    for c in (*by, "__b"):
-        same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
-    moments = moments.join(firsts, same)
-    active = F.coalesce("__before", F.lit(0)) + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    stretch = moments.withColumn("active", active).withColumn("to", F.coalesce(F.lead("t").over(w), "__next"))
-    stretch = stretch.filter((F.col("active") >= 2) & F.col("to").isNotNull()).select(*by, F.col("t").alias("from"), "to")
-    spans = intervals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(item).alias("__item"))
-    spans = spans.withColumn("__sb", F.explode(F.sequence(*[F.floor(micros(F.col(c)) / F.lit(3_600_000_000)) for c in ("__s", "__e")])))
-    stretch = stretch.withColumn("__h", F.floor(micros(F.col("from")) / F.lit(3_600_000_000)))
-    on = (F.col("__h") == F.col("__sb")) & (F.col("__s") <= F.col("from")) & (F.col("__e") >= F.col("to"))
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    named = stretch.join(spans, on).groupBy(*by, "from", "to").agg(F.array_sort(F.collect_set("__item")).alias("items"))
-    named = named.filter(F.size("items") >= 2).withColumn("__b", F.floor(micros(F.col("from")) / F.lit(86_400_000_000)))
+    day = 86_400_000_000
+    kind, when = intervals.schema[item].dataType.simpleString(), intervals.schema[start].dataType
+    spans = intervals.select(*by, micros(F.col(start)).alias("__s"), micros(F.col(end)).alias("__e"), F.col(item).alias("__item")).filter("__s < __e AND __item IS NOT NULL")
+    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / F.lit(day)), F.floor((F.col("__e") - 1) / F.lit(day)))))
+
+    def sweep(table: pa.Table) -> pa.Table:
+        number = table.column("__b")[0].as_py()
+        found = list(_sweep(list(zip(*(table.column(c).to_pylist() for c in ("__s", "__e", "__item")), strict=True)), number * day, (number + 1) * day))
+        own = table.select([*by, "__b"]).slice(0, 1).take(pa.array([0] * len(found), pa.int64()))
+        for i, (name, t) in enumerate((("__from", pa.int64()), ("__to", pa.int64()), ("items", pa.list_(table.schema.field("__item").type)))):
+            own = own.append_column(name, pa.array([x[i] for x in found], t))
+        return own
+
+    kinds = ", ".join(f"`{c}` {intervals.schema[c].dataType.simpleString()}" for c in by)
+    named = spans.groupBy(*by, "__b").applyInArrow(sweep, f"{kinds}, __b long, __from long, __to long, items array<{kind}>")
+    at = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).cast(when)
+    named = named.select(*by, "__b", at("__from").alias("from"), at("__to").alias("to"), "items")
     named = carried(named, by, "__b", {"__x": F.max_by(F.struct("to", "items"), "from")}, {"__last": F.last("__x")})
     within = Window.partitionBy(*by, "__b").orderBy("from")
     before = F.coalesce(F.lag(F.struct("to", "items")).over(within), F.col("__last"))

@@ -114,3 +114,28 @@ def test_stretches_are_parted_where_the_sensor_is_idle(spark, spans):
                 begin = a
             end = b if end is None else max(end, b)
             assert got[i] == begin
+
+
+def test_sweeps_over_many_days_equal_brute_force(spark):
+    """Intervals that touch, nest, repeat and go on over midnights; null keys and items."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(120):
+        a = rng.randrange(0, 4 * 86400, 1800)
+        rows.append((rng.choice([1, None]), rng.randrange(5), T0 + timedelta(seconds=a), T0 + timedelta(seconds=a + rng.choice([0, 1800, 7200, 100_000]))))
+    rows += [(1, None, T0, T0 + timedelta(days=2)), (1, 3, None, T0)]
+    got = windows.concurrent(spark.createDataFrame(rows, "sensor int, norad_id int, t_aos timestamp_ntz, t_los timestamp_ntz"), ["sensor"], "t_aos", "t_los", "norad_id")
+    want = []
+    for sensor in (1, None):
+        mine = [r for r in rows if r[0] == sensor and r[1] is not None and r[2] is not None and r[2] < r[3]]
+        moments = sorted({t for r in mine for t in r[2:]})
+        for f, u in zip(moments, moments[1:], strict=False):
+            items = sorted({r[1] for r in mine if r[2] <= f and r[3] >= u})
+            if len(items) > 1:
+                if want and want[-1][0] == sensor and want[-1][2] == f and want[-1][3] == items:
+                    want[-1] = (sensor, want[-1][1], u, items)
+                else:
+                    want.append((sensor, f, u, items))
+    assert sorted(((r.sensor, r["from"], r.to, r["items"]) for r in got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
