@@ -25,6 +25,7 @@ def estimates(kind: Column, remarks: Column) -> Column:
     t, says = F.upper(kind), F.lower(F.coalesce(remarks, F.lit("")))
     has = lambda *words: F.greatest(*[F.contains(says, F.lit(w)) for w in words], F.lit(False))
     wide = aperture_m(remarks)
+    # Key words of each kind with greatest range and sensitivity; least range and altitude.
     known = [
         (t == "RADAR", [(has("64m", "34m"), 5000.0, 0.01), (has("trajectography", "satam"), 1500.0, 0.1), (has("600m ring"), 3000.0, 0.1), (None, 2000.0, 0.5)], 200.0, 500.0),
         (t == "PHASED_ARRAY_RADAR", [(has("vhf"), 6000.0, 0.1), (has("l-band"), 3000.0, 0.05), (None, 3000.0, 0.1)], 200.0, 500.0),
