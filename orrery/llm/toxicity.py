@@ -9,8 +9,8 @@ other way, which stops the classifier from memorising its positives.
 
 Inputs of a score are the words of the whole text and the first bytes of words,
 each as present or not and as repeated or not.  Of these the classifier uses
-those that are clearly more frequent in toxic than in unlabelled texts (a test
-of two shares), `FEATURES` at most.
+those that are clearly more or clearly less frequent in toxic than in
+unlabelled texts (a test of two shares), `FEATURES` at most.
 
 The classifier is fitted on the driver on a bounded sample: `POSITIVES` toxic
 texts and `UNLABELLED` others at most, chosen by a hash of the id, as hashes of
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .words import LETTERS, blocks, find_words, loose, text_bytes, word_hashes
+from .words import LETTERS, blocks, find_words, loose, text_bytes, trim, word_hashes
 
 POSITIVES, UNLABELLED, FEATURES = 2000, 5000, 4096
 #: Bytes of a word that are features of their own; least texts with a feature; least difference of shares in standard errors.
@@ -42,6 +42,8 @@ HEADS, LEAST, CLEAR = (3, 4, 5, 6, 7, 8), 3, 4.0
 PURE = 0.5
 STEPS, RATE, DECAY = 800, 0.1, 3e-5
 BLOCK_BYTES = 4 << 20
+#: Texts of the sample looked up at once.
+AT_ONCE = 200
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -102,24 +104,59 @@ def _among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
     return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values if len(names) else np.zeros(len(values), bool)
 
 
+def _places(texts: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place among the names, which ascend) of the features that are among them; few texts at a time, as the driver does this."""
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts) if len(names) else 0, AT_ONCE):
+        part = texts[i : i + AT_ONCE]
+        flat = np.concatenate(part)
+        at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        hit = names[at] == flat
+        rows.append(np.repeat(np.arange(i, i + len(part)), [len(t) for t in part])[hit])
+        columns.append(at[hit])
+    return np.concatenate(rows), np.concatenate(columns)
+
+
 def _screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int) -> np.ndarray:
-    """Features that more of the positive than of the unlabelled texts have, clearly, and that are toxic more often than not.
+    """Features that speak for or against: clearly more, or clearly fewer, of the positive than of the unlabelled texts have them.
 
     Of the unlabelled texts with a feature, prior * (share of positives with it)
-    / (share of unlabelled with it) are toxic.
+    / (share of unlabelled with it) are toxic; one that speaks for is toxic more
+    often than not.
     """
-    names, back = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    cut = sum(map(len, positive))
-    a = np.bincount(back[:cut], minlength=len(names))
-    u = np.bincount(back[cut:], minlength=len(names))
+    names, a = np.unique(np.concatenate(positive), return_counts=True)
+    names, a = names[a >= LEAST], a[a >= LEAST]
+    u = np.bincount(_places(unlabelled, names)[1], minlength=len(names))
     n, m = len(positive), len(unlabelled)
     both = (a + u) / (n + m)
     z = (a / n - u / m) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n + 1 / m))
-    good = np.flatnonzero((a >= LEAST) & (z >= CLEAR) & (prior * a / n >= PURE * u / m))
-    return np.sort(names[good[np.argsort(-z[good], kind="stable")[:most]]])
+    for_ = (z >= CLEAR) & (prior * a / n >= PURE * u / m)
+    good = np.flatnonzero(for_ | (z <= -CLEAR))
+    return np.sort(names[good[np.argsort(-np.abs(z[good]), kind="stable")[:most]]])
+
+
+def risk(theta: np.ndarray, row: np.ndarray, column: np.ndarray, n: int, m: int, prior: float, corrected: bool = True) -> tuple[float, np.ndarray, float]:
+    """What a step of training lowers, its gradient, and the estimate of the risk on negatives.
+
+    theta: weights and the bias; (row, column): the features of n positive, then
+    m unlabelled texts.  Where the estimate is below zero, a step undoes that
+    (unless corrected is false, which is for comparison).
+    """
+    z = theta[-1] + np.bincount(row, weights=theta[column], minlength=n + m)
+    p = 1 / (1 + np.exp(-z))
+    slope = p * (1 - p)
+    negative = float(p[n:].mean() - prior * p[:n].mean())
+    g = np.empty(n + m)
+    if negative >= 0 or not corrected:
+        value = prior * float((1 - p[:n]).mean()) + negative
+        g[:n], g[n:] = -2 * prior * slope[:n] / n, slope[n:] / m
+    else:
+        value = -negative
+        g[:n], g[n:] = prior * slope[:n] / n, -slope[n:] / m
+    return value, np.append(np.bincount(column, weights=g[row], minlength=len(theta) - 1), g.sum()), negative
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, corrected: bool = True) -> Classifier:
     """Minimise the non-negative risk with Adam; each text is the array of its distinct features.
 
     The loss is the sigmoid loss of the paper.  It is bounded, so that a prior
@@ -130,30 +167,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         bias = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), bias, prior)
     names = _screen(positive, unlabelled, prior, most)
-    texts = [*positive, *unlabelled]
-    sizes = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-        hit = names[at] == flat
-        row, column = row[hit], at[hit]
-    else:
-        row = column = np.zeros(0, np.int64)
+    row, column = _places([*positive, *unlabelled], names)
     n, m = len(positive), len(unlabelled)
     theta, first, second = np.zeros(len(names) + 1), 0.0, 0.0
     theta[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        z = theta[-1] + np.bincount(row, weights=theta[column], minlength=n + m)
-        p = 1 / (1 + np.exp(-z))
-        slope = p * (1 - p)
-        negative = p[n:].mean() - prior * p[:n].mean()
-        g = np.empty(n + m)
-        if negative >= 0:
-            g[:n], g[n:] = -2 * prior * slope[:n] / n, slope[n:] / m
-        else:  # the estimate went below what any classifier can have: undo that
-            g[:n], g[n:] = prior * slope[:n] / n, -slope[n:] / m
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(names)) + decay * theta[:-1], g.sum())
+        _, grad, _ = risk(theta, row, column, n, m, prior, corrected)
+        grad[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -176,7 +196,7 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int, only: np.ndarray | None
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([feature[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)], pa.binary())], ["id", "features"])
 
     # `most` ids are small enough to send everywhere.
-    found = docs.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(scan, "id long, features binary").dropDuplicates(["id"]).toArrow()
+    found = docs.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(scan, "id long, features binary").groupBy("id").agg(F.min("features").alias("features")).toArrow()
     found = found.sort_by("id")
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("features")]
 
@@ -200,7 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     names = np.unique(every[LEAST - 1 :][every[LEAST - 1 :] == every[: len(every) - LEAST + 1]])
     del every
     positive = [t[_among(t, names)] for t in positive]
-    return train(positive, _sample(rows, rows.select("id"), unlabelled, names), prior)
+    try:
+        return train(positive, _sample(rows, rows.select("id"), unlabelled, names), prior)
+    finally:
+        trim()
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

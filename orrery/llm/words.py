@@ -172,8 +172,8 @@ def whole_runs(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(words.starts)) + n <= ends)
 
 
-def _trim() -> None:
-    """Give memory that a task has freed back to the system, as workers live on after it."""
+def trim() -> None:
+    """Give memory that has been freed back to the system, as workers and the driver live on."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -184,7 +184,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
     try:
         yield from _blocks(batches, column, most)
     finally:
-        _trim()
+        trim()
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

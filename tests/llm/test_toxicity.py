@@ -73,3 +73,49 @@ def test_a_feature_there_twice_is_another():
     document, feature, _ = D.features(pa.array(["abcd abcd ef"]))
     _, f = D.distinct(document, feature)
     assert len(f) == len(set(f.tolist())) == 5  # abcd and its head, each once and as "twice"; ef
+
+
+def test_gradient_of_both_branches():
+    """Against differences of the risk, where the estimate on negatives is above and below zero."""
+    rng = np.random.default_rng(0)
+    row = np.repeat(np.arange(30), 3)
+    column = np.concatenate([rng.integers(0, 4, 30), rng.integers(2, 6, 60)])
+    theta = np.array([2.0, 1.5, 0.3, -0.5, -1.0, -2.0, 0.1])
+    seen = set()
+    for prior in (0.05, 0.9):
+        negative = D.risk(theta, row, column, 10, 20, prior)[2]
+        seen.add(negative >= 0)
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-6
+            slope = (D.risk(theta + step, row, column, 10, 20, prior)[0] - D.risk(theta - step, row, column, 10, 20, prior)[0]) / 2e-6
+            assert D.risk(theta, row, column, 10, 20, prior)[1][i] == pytest.approx(slope, abs=1e-7)
+    assert seen == {True, False}
+
+
+def test_correction_stops_what_the_plain_risk_memorises():
+    """Positives known by features that no unlabelled text has: the plain estimate of the risk on negatives falls far below zero."""
+    positive = [np.array([i // 10 + 1], np.uint64) for i in range(30)]
+    unlabelled = [np.zeros(0, np.uint64)] * 300
+    found = {}
+    for corrected in (True, False):
+        c = D.train(positive, unlabelled, 0.5, corrected=corrected, decay=0.0)
+        at = np.searchsorted(c.names, [p[0] for p in positive])
+        found[corrected] = D.risk(np.append(c.weights, c.bias), np.arange(30), at, 30, 300, 0.5)[2]
+    assert found[False] < -0.4 and found[True] > -0.1
+
+
+def test_features_speak_for_and_against():
+    """A word that toxic texts have less often than others lowers a score."""
+    rng = np.random.default_rng(1)
+    text = lambda share_bad, share_good: np.array([x for x, s in ((1, share_bad), (2, share_good)) if rng.random() < s], np.uint64)
+    c = D.train([text(0.9, 0.1) for _ in range(300)], [text(0.1, 0.8) for _ in range(600)], 0.1)
+    assert c.weights[c.names == 1] > 0 > c.weights[c.names == 2]
+
+
+def test_very_long_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 1_000_000), (3, "a"), (3, "a")], "doc_id long, text string")
+    c = D.Classifier(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.5)
+    assert [r.score for r in D.score(docs, c).collect()] == [0.5] * 4
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert all(r.predicted == int(r.score >= 0.5) for r in D.toxicity_query(docs, labels).collect())
+    assert D.drop_toxic(docs, c).count() == 0  # a score at the threshold is rejected
