@@ -82,3 +82,49 @@ def test_packing(stages):
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
     assert key(C.run(spark, SF)) == key(stages[5])
+
+
+def test_awkward_rows_pass_all_stages_whatever_the_partitions(spark, tmp_path):
+    """Null ids, repeated ids and rows, null, empty and long texts, clashing columns; the same result for any number of partitions."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [" ".join(word() for _ in range(rng.randint(5, 80))) for _ in range(40)]
+    texts[7] = texts[3]
+    texts[9] = texts[4] + " " + word()
+    texts[11] = f"  {texts[11]}\t{texts[5]}  "
+    item = " ".join(word() for _ in range(12))
+    texts[13] += " " + item
+    texts += [None, "", " \n ", " ".join(word() for _ in range(8000)), "dreck " * 3 + texts[0][:20]]
+    rows = [(i, t, "en", "s", len(t or ""), i, "own") for i, t in enumerate(texts)]
+    rows += [(None, texts[2], "en", "s", 1, 1, None), (6, "another text of the sixth document with words of its own", "de", "t", 2, 2, None), rows[8], (20, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mark long, own string"
+    spark.createDataFrame([(i, int(i == len(texts) - 1)) for i in range(0, len(texts), 2)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", item), (None, None), ("b", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = []
+    for parts in (1, 3, 17):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents{parts}")
+        docs = spark.read.parquet(f"{tmp_path}/documents{parts}")
+        for k, (_, stage) in enumerate(C.STAGES[:4]):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.dtypes == docs.dtypes
+            out.write.parquet(f"{tmp_path}/{parts}_{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{parts}_{k}")
+        found.append(sorted((tuple(r) for r in docs.collect()), key=repr))
+        packed = C.pack(spark, docs, str(tmp_path)).collect()
+        assert sum(r.length for r in packed) == sum(len(_ids(r[1] or "")) // 4 + 1 for r in found[-1])
+    assert found[0] == found[1] == found[2]
+    kept = {(r[0], r[1]) for r in found[0]}
+    ids = [k for k, _ in kept]
+    assert None in ids and 6 in ids and 7 not in ids and 9 not in ids and 13 not in ids
+    assert ids.count(6) == 2 and sum(r[0] == 8 for r in found[0]) == 1
+    gone = next(t for k, t in kept if k == 11)
+    assert gone.startswith("  ") and texts[5] not in gone
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
