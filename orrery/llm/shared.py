@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +88,21 @@ def put(uri: str, name: str, data: bytes | memoryview) -> None:
     fs.move(own, f"{path}/{name}")
 
 
+@contextlib.contextmanager
+def put_stream(uri: str, name: str) -> Iterator[pa.NativeFile]:
+    """As `put`, for a file that is written piece by piece; one that is broken off is removed."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    own = f"{path}/.{name}.{uuid.uuid4().hex}"
+    try:
+        with fs.open_output_stream(own, compression=None) as out:
+            yield out
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fs.delete_file(own)
+        raise
+    fs.move(own, f"{path}/{name}")
+
+
 #: Parts of a plan that give the same rows in the same order each time they are read.
 _STEADY = ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation", "LogicalRDD", "LocalRelation", "Range")
 
