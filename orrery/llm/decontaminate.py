@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_dir, put, small_batches
 from .suffixes import search, suffix_array
-from .words import LETTERS, blocks, find_words, loose, text_bytes
+from .words import LETTERS, Words, blocks, find_words, loose, text_bytes
 
 #: Bytes of document text in one suffix array, and of benchmark text sent at once.
 SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+#: Shards that a task holds, with their suffix arrays, while the blocks of a benchmark that has several pass by.
+HELD_SHARDS = 4
 RESULT = "n_words:long,hits:array<struct<start:long,length:long>>,items:array<string>,longest:struct<item:string,item_word:long,word:long,n_words:long>"
 
 
@@ -57,23 +59,34 @@ class TestSuffixes:
         self.depth = int(size.max(initial=0))
 
 
-def matches(words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word of the block, test suffix) where a whole window matches; the longest match of each suffix."""
+class Suffixes:
+    """The words of a shard of documents and its suffix array, made once for the deepest tests so far."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        self.known, ids = np.unique(words.hashes(), return_inverse=True)
+        ends = np.zeros(len(words.starts) + len(words.first) - 1, bool)
+        ends[words.first[1:] + np.arange(len(words.first) - 1)] = True
+        self.stream = np.zeros(len(ends), np.int64)  # 0 ends a document
+        self.stream[~ends] = ids.reshape(-1) + 1
+        self.word_at = np.cumsum(~ends) - 1
+        self.depth = -1
+
+    def array(self, depth: int) -> np.ndarray:
+        if depth > self.depth:
+            self.order, self.depth = suffix_array(self.stream, depth), depth
+        return self.order
+
+
+def matches(shard: Suffixes, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word of the shard, test suffix) where a whole window matches; the longest match of each suffix."""
     none = np.zeros(0, np.int64)
-    hashes = words.hashes()
-    known, ids = np.unique(hashes, return_inverse=True)
-    ends = np.zeros(len(hashes) + len(words.first) - 1, bool)
-    stops = words.first[1:] + np.arange(len(words.first) - 1)
-    ends[stops] = True
-    place = np.flatnonzero(~ends)
-    stream = np.zeros(len(ends), np.int64)  # 0 ends a document
-    stream[place] = ids + 1
-    word_at = np.cumsum(~ends) - 1
+    known, stream, word_at = shard.known, shard.stream, shard.word_at
     at = np.searchsorted(known, tests.hashes)
     there = at < len(known)
     there[there] = known[at[there]] == tests.hashes[there]
     test = np.where(there, at + 1, -1)
-    order = suffix_array(stream, tests.depth)
+    order = shard.array(tests.depth)
     longest, lo, hi = search(order, stream, test, tests.left, np.where(tests.opens, tests.need, 0))
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
@@ -84,9 +97,10 @@ def matches(words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
     return word_at[order[base + np.arange(len(suffix))]], suffix, longest
 
 
-def _report(words, tests: TestSuffixes) -> list[dict]:
-    """What RESULT says for each document of a block."""
-    word, suffix, _ = matches(words, tests)
+def _report(shard: Suffixes, tests: TestSuffixes) -> list[dict]:
+    """What RESULT says for each document of a shard."""
+    words = shard.words
+    word, suffix, _ = matches(shard, tests)
     out = [{"n_words": int(n), "hits": [], "items": [], "longest": None} for n in words.counts]
     if not len(word):
         return out
@@ -194,12 +208,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("body"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "body", shard_bytes):
-            words = find_words(*text_bytes(block.column(1)), LETTERS, fold=True)
-            rows = _report(words, load(0))
-            for k in range(1, count):
-                rows = [_merge(a, b) for a, b in zip(rows, _report(words, load(k)), strict=True)]
-            yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(rows, type=found)], ["kept", "found"])
+        shards = blocks(batches, "body", shard_bytes)
+        while held := list(itertools.islice(shards, 1 if count == 1 else HELD_SHARDS)):
+            suffixes = [Suffixes(find_words(*text_bytes(block.column(1)), LETTERS, fold=True)) for block in held]
+            rows = [_report(x, load(0)) for x in suffixes]
+            for k in range(1, count):  # a block of the benchmark is loaded once for all shards that are held
+                tests = load(k)
+                rows = [[_merge(a, b) for a, b in zip(was, _report(x, tests), strict=True)] for was, x in zip(rows, suffixes, strict=True)]
+            for block, found_ in zip(held, rows, strict=True):
+                yield pa.RecordBatch.from_arrays([loose(block.column(0)), pa.array(found_, type=found)], ["kept", "found"])
 
     found = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))])
     out = kept.mapInArrow(scan, f"kept {kept.schema['kept'].dataType.simpleString()}, found struct<{RESULT}>")

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -106,3 +107,21 @@ def test_empty_tables(spark, corpus, nothing):
     bench = spark.createDataFrame([], "item_id int, text string")
     assert D.find_contamination(nothing, bench).count() == 0
     assert D.remove_contaminated(corpus, bench).count() == corpus.count()
+
+
+def test_an_array_serves_tests_of_any_depth():
+    from orrery.llm.words import LETTERS, find_words, text_bytes
+
+    docs = pa.array(["a b c d e f a b c d", "x a b c d e f y", ""])
+    tests = [D.TestSuffixes([("short", "a b")], 2), D.TestSuffixes([("long", "a b c d e f y")], 5), D.TestSuffixes([("one", "d")], 10)]
+    make = lambda: D.Suffixes(find_words(*text_bytes(docs), LETTERS, fold=True))
+    held = make()
+    assert [D._report(held, t) for t in tests] == [D._report(make(), t) for t in tests]
+
+
+def test_blocks_of_a_benchmark_against_held_shards(spark, corpus):
+    items = spark.createDataFrame([(f"i{k}", r.text) for k, r in enumerate(corpus.limit(30).collect())], "item_id string, text string")
+    key = lambda df: sorted((repr(r) for r in df.collect()))
+    docs = corpus.select("doc_id", "text").coalesce(1)
+    one = key(D.decontamination_query(docs, items))
+    assert key(D.decontamination_query(docs, items, block_bytes=500, shard_bytes=700)) == one
