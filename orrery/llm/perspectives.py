@@ -18,7 +18,10 @@ of a hash of speaker and text; repeated rows are repeated turns.  A speaker of
 blank speaker is a user without a name and no participant, so a dialogue
 without participants has no rows.  A null text is empty; a null dialogue id is
 one dialogue.  Marks of the format inside a text or name are broken by a space.
-Other columns are not looked at.
+White space in a name becomes `_` and `#` is doubled; of speakers of a dialogue
+whose names come out alike, the second, third ... in their order get `#2`, `#3`
+..., so all are told apart.  The rows grow with participants times turns of a
+dialogue, as each sees all of it.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +40,22 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
 
 
+#: Speakers with a number that are broadcast; more are joined by a shuffle.
+FEW = 10_000
+
+
+def _called(speaker: Column) -> Column:
+    return _plain(F.replace(F.regexp_replace(speaker, r"\s+", "_"), F.lit("#"), F.lit("##")))
+
+
+def _alike(dealt: DataFrame) -> DataFrame:
+    """(n_conv, n_speaker, number) of the speakers whose name another speaker of the dialogue has before them."""
+    names = dealt.filter(F.col("speaker").isNotNull()).select("conv", "speaker", _called(F.col("speaker")).alias("called")).distinct()
+    number = F.row_number().over(Window.partitionBy("conv", "called").orderBy("speaker"))
+    found = cut(names.withColumn("number", number).filter("number > 1").select(F.col("conv").alias("n_conv"), F.col("speaker").alias("n_speaker"), "number"))
+    return F.broadcast(found) if found.count() <= FEW else found
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """(conv_id, perspective, turn, seq, speaker, role, name, rendered, char_start, char_end, loss_start, loss_end).
 
@@ -50,6 +69,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     order = [F.asc_nulls_first("turn"), F.asc("tie"), F.asc("uid")]
     dealt = cut(rows.repartitionByRange(n, F.asc_nulls_first("conv"), *order).withColumn("part", F.spark_partition_id()))
 
+    alike = _alike(dealt)
+    dealt = dealt.join(alike, F.col("conv").eqNullSafe(F.col("n_conv")) & (F.col("speaker") == F.col("n_speaker")), "left").drop("n_conv", "n_speaker")
     is_system = F.coalesce(F.col("speaker").isin(*system), F.lit(False))
     views = dealt.filter(F.col("speaker").isNotNull() & ~is_system).select(F.col("conv").alias("v_conv"), F.col("speaker").alias("perspective")).distinct()
     parts = dealt.select(F.col("conv").alias("p_conv"), F.col("part").alias("v_part")).distinct()
@@ -58,7 +79,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     mine = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     role = F.when(is_system, "system").when(mine, "assistant").otherwise("user")
-    name = F.when((role == "user") & F.col("speaker").isNotNull(), _plain(F.regexp_replace("speaker", r"\s+", "_")))
+    called = F.concat(_called(F.col("speaker")), F.coalesce(F.concat(F.lit("#"), F.col("number").cast("string")), F.lit("")))
+    name = F.when((role == "user") & F.col("speaker").isNotNull(), called)
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
     seen = seen.select("part", "conv", "perspective", "turn", "tie", "uid", "speaker", role.alias("role"), name.alias("name"), F.concat(head, _plain(F.col("body")), F.lit(f"{END}\n")).alias("rendered"), F.length(head).cast("long").alias("head"))
 
@@ -92,8 +114,12 @@ WITH t AS (
   SELECT t.conv_id, perspective, turn, speaker, body,
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+), b AS (
+  SELECT conv_id, speaker, replace(replace(regexp_replace(speaker, '\\s+', '_', 'g'), '#', '##'), '<|im_', '<| im_') AS called FROM (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker IS NOT NULL)
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, called ORDER BY speaker) AS number FROM b
 ), n AS (
-  SELECT *, CASE WHEN role = 'user' THEN replace(regexp_replace(speaker, '\\s+', '_', 'g'), '<|im_', '<| im_') END AS name FROM r
+  SELECT r.*, CASE WHEN role = 'user' THEN called || CASE WHEN number > 1 THEN '#' || number ELSE '' END END AS name FROM r LEFT JOIN a ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.speaker = a.speaker
 ), h AS (
   SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM n
 ), f AS (

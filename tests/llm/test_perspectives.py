@@ -56,3 +56,22 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert D.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_names_that_come_out_alike_are_told_apart(spark, monkeypatch):
+    speakers = ["A B", "A_B", "A\tB", "A_B#2", "A_B#", "A_B##2", "c"]
+    rows = [(k, i, s, f"t{i}") for k in (1, None) for i, s in enumerate(speakers)] + [(2, 0, "A_B", "x"), (2, 1, "c", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for few in (10_000, 0):
+        monkeypatch.setattr(D, "FEW", few)
+        got = D.rotate(df).filter("perspective = 'c' AND name IS NOT NULL").collect()
+        for k in (1, None):
+            names = [r.name for r in got if r.conv_id == k]
+            assert len(names) == 6 == len(set(names))
+        assert [r.name for r in got if r.conv_id == 2] == ["A_B"]
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, 0, "a", "x" * 3_000_000), (1, 1, "b", "y")], "conv_id long, turn long, role string, text string")
+    rows = sorted(D.rotate(df).select("perspective", "seq", "char_start", "char_end").collect())
+    assert rows[1].char_start == rows[0].char_end > 3_000_000
