@@ -59,14 +59,31 @@ def test_packed_arrays_come_back(values):
     assert (np.cumsum(a, dtype=np.uint64) == x).all() and (b == y).all()
 
 
-def test_lookup_in_shards(tmp_path):
+@pytest.mark.parametrize("n", [3, 500, 20_000])
+def test_lookup_in_shards(tmp_path, n):
+    """Keys with common and rare rows of counts; a shard without a file; keys that are nowhere."""
     uri = f"file://{tmp_path}"
-    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    rows = [np.where(rng.random(len(keys)) < 0.8, keys % np.uint64(3), keys % np.uint64(5000)), keys >> np.uint64(62)]
+    wide = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    shard = arrays.shard_of(keys, 7)
     for s in range(7):
-        mine = keys[arrays.shard_of(keys, 7) == s]
+        mine = shard == s
         if s != 3:
-            arrays.write_shard(uri, "t", s, mine, (mine % np.uint64(1000)).astype(np.uint32))
+            arrays.write_table(uri, f"t_{s:06d}", keys[mine], [r[mine] for r in rows], wide[mine])
     asked = np.concatenate([keys, keys + np.uint64(1)])
-    [got] = arrays.lookup(uri, "t", 7, asked, np.uint32)
+    found, counts, more = arrays.lookup(uri, "t", arrays.shard_of(asked, 7), asked, 2)
     there = np.isin(asked, keys) & (arrays.shard_of(asked, 7) != 3)
-    assert (got == np.where(there, asked % np.uint64(1000), 0)).all()
+    at = np.searchsorted(keys, asked[there])
+    assert (found == there).all() and (counts[there] == np.stack([r[at] for r in rows], 1)).all() and (more[there] == wide[at]).all()
+    assert not counts[~there].any() and not more[~there].any()
+    assert not arrays.lookup(uri, "t", np.zeros(0, np.int64), np.zeros(0, np.uint64), 2)[0].size
+    arrays.forget()
+
+
+def test_row_hashes_are_run_hashes():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 2**64, 20, dtype=np.uint64) for _ in range(3)]
+    flat = np.stack(columns, 1).reshape(-1)
+    assert (words.row_hashes(columns) == words.run_hashes(flat, 3)[::3]).all()
