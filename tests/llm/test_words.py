@@ -5,11 +5,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orrery.llm import arrays, words
 
+settings.register_profile("any_pace", deadline=None)  # other work may slow a case down
+settings.load_profile("any_pace")
+
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=" \t\n\x0b\x1c\xa0aAzZ09.-é漢😀", max_size=40)), max_size=8)
 
 
