@@ -17,7 +17,10 @@ Defined results: a null html is the empty payload; a null url has no target
 URI; rows that repeat id and payload of a response are responses, too; a row
 with a null id is a revisit if a row with an id has its payload, else a
 response.  A damaged archive yields the whole records before the damage, and
-the error in the list of archives.  Other columns are not looked at.
+the error in the list of archives; the query, which reads archives of its own,
+fails on such an error, and on a record that is not read back as it was
+written.  A store that can't be read or written fails the task.  Other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -111,21 +114,49 @@ def records(stream: BinaryIO) -> Iterator[bytes]:
         yield b"".join([*lines, b"\r\n", body[:size], b"\r\n\r\n"])
 
 
+class _Unread(Exception):
+    """A read of the file failed, for the reason in its cause."""
+
+
+class _Source(io.RawIOBase):
+    """A file whose failures can't be taken for damage of what it holds."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        try:
+            return self.file.read(size)
+        except Exception as e:
+            raise _Unread from e
+
+
 def normalise_into(source: BinaryIO, archive: BinaryIO, index: BinaryIO, level: int = LEVEL) -> tuple[int, str | None]:
-    """Write every record of the source as a member of its own, and its line of the index; how many there were, and what was wrong with the source, if anything."""
+    """Write every record of the source as a member of its own, and its line of the index; how many there were, and what was wrong with the source, if anything.
+
+    Only damage within the source is returned; what fails in reading or writing
+    the files is raised.
+    """
     at = n = 0
-    try:
-        for raw in records(gzip.GzipFile(fileobj=source)):
-            pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-            member = pack.compress(raw) + pack.flush()
+    found = records(gzip.GzipFile(fileobj=_Source(source)))
+    while True:
+        try:
+            if (raw := next(found, None)) is None:
+                return n, None
             fields = headers(raw.partition(b"\r\n\r\n")[0])
-            entry = {"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": fields.get("warc-payload-digest")}
-            archive.write(member)
-            index.write(f"{json.dumps(entry)}\n".encode())
-            at, n = at + len(member), n + 1
-    except (OSError, EOFError, ValueError, zlib.error) as e:
-        return n, f"{type(e).__name__}: {e}"
-    return n, None
+        except _Unread as e:
+            raise e.__cause__ from None
+        except (gzip.BadGzipFile, EOFError, ValueError, zlib.error) as e:
+            return n, f"{type(e).__name__}: {e}"
+        pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+        member = pack.compress(raw) + pack.flush()
+        entry = {"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": fields.get("warc-payload-digest")}
+        archive.write(member)
+        index.write(f"{json.dumps(entry)}\n".encode())
+        at, n = at + len(member), n + 1
 
 
 def normalise_stream(source: BinaryIO, level: int = LEVEL) -> tuple[bytes, list[dict], str | None]:
@@ -210,17 +241,20 @@ def read_back(archives: DataFrame, uri: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(uri)
         for batch in batches:
-            for name, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+            for name, index, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, seen = [], 0
                 with fs.open_input_file(f"{path}/{name}") as f:
                     for e in entries(fs, f"{path}/{index}"):
                         rows.append(one(zlib.decompress(f.read_at(e["length"], e["offset"]), 31)))
+                        seen += 1
                         if len(rows) == 1000:
                             yield batch_of(rows)
                             rows = []
+                if seen != n:
+                    raise RuntimeError(f"{index} lists {seen} records of {n}")
                 yield batch_of(rows)
 
-    return _each(archives.select("archive", "index")).mapInArrow(run, kind)
+    return _each(archives.select("archive", "index", "n")).mapInArrow(run, kind)
 
 
 def warc_query(pages: DataFrame) -> DataFrame:
@@ -229,5 +263,9 @@ def warc_query(pages: DataFrame) -> DataFrame:
     uri = fresh_dir(pages.sparkSession, "warc")
     whole = landed(write_archives(decide(pages), uri), uri, "whole")
     members = landed(normalise(whole, uri), uri, "members")
-    found = read_back(members, uri)
+    ends = members.join(whole.select(F.concat(F.lit("members-"), "archive").alias("archive"), F.col("n").alias("written")), "archive", "full")  # a row for each archive
+    bad = ends.filter("error IS NOT NULL OR NOT n <=> written").first()
+    if bad is not None:
+        raise RuntimeError(f"{bad.archive} holds {bad.n} records of {bad.written}: {bad.error}")
+    found = read_back(members, uri).filter(F.when(F.col("payload_ok"), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("a record is not as it was written: page"), F.col("id"))).cast("boolean")))
     return found.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))

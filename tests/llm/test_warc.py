@@ -104,3 +104,49 @@ def test_very_large_and_hot_payloads(spark):
     rows = [(i, "u", "same") for i in range(40)] + [(100, "u", "z" * 5_000_000), (101, "u", "z" * 5_000_000), (102, None, None)]
     got = {r.page_id: r for r in D.warc_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == 43 and all(got[i].refers_to == 0 for i in range(1, 40)) and got[101].refers_to == 100 and got[101].payload_bytes == 5_000_000
+
+
+def test_a_failure_of_the_store_is_no_damage():
+    """A full disk, or a read that breaks off, is raised; it is not the end of the archive."""
+
+    class Full(io.RawIOBase):
+        def write(self, data):
+            raise OSError(28, "No space left on device")
+
+    class Broken(io.BytesIO):
+        def read(self, size=-1):
+            if self.tell() > 20_000:
+                raise self.error
+            return super().read(min(size, 4096) if size > 0 else 4096)
+
+    packed = gzip.compress(b"".join(D.record(i, "u", b"x" * 5000, None, False) for i in range(9)), 0)
+    for archive, index in ((Full(), io.BytesIO()), (io.BytesIO(), Full())):
+        with pytest.raises(OSError, match="No space"):
+            D.normalise_into(io.BytesIO(packed), archive, index)
+    for error in (OSError(5, "Input/output error"), EOFError("cut off"), ValueError("closed")):
+        source = Broken(packed)
+        source.error = error
+        with pytest.raises(type(error)) as found:
+            D.normalise_into(source, io.BytesIO(), io.BytesIO())
+        assert found.value is error
+
+
+@pytest.mark.parametrize("what", ["truncated", "emptied", "changed"])
+def test_the_query_fails_on_a_damaged_archive(pages, monkeypatch, what):
+    landed = D.landed
+
+    def damaged(df, uri, name):
+        out = landed(df, uri, name)
+        if name == "whole":
+            fs, path = pafs.FileSystem.from_uri(uri)
+            file = f"{path}/{out.orderBy('archive').first().archive}"
+            data = fs.open_input_file(file).read()
+            raw = gzip.decompress(data)
+            data = {"truncated": data[: len(data) // 2], "emptied": gzip.compress(b""), "changed": gzip.compress(raw.replace(b"<p>", b"<q>"))}[what]
+            with fs.open_output_stream(file, compression=None) as f:
+                f.write(data)
+        return out
+
+    monkeypatch.setattr(D, "landed", damaged)
+    with pytest.raises(Exception, match="records of|as it was written"):
+        D.warc_query(pages).collect()
