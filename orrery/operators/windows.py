@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,63 +106,103 @@ def since_previous(rows: DataFrame, by: list[str], time: str, start: Column, tie
     return F.greatest(F.lit(0.0), seconds_between(F.coalesce(F.lag(time).over(w), start), F.col(time)))
 
 
-def _sweep(spans: list[tuple[int, int, object]], begin: int, end: int) -> Iterator[tuple[int, int, list]]:
-    """(from, to, items) of the stretches within [begin, end) in which two items or more are active; neighbours differ in their items."""
-    moments = sorted([(max(s, begin), 1, x) for s, _, x in spans] + [(min(e, end), 0, x) for _, e, x in spans], key=lambda m: m[:2])
-    active: dict[object, int] = {}
-    since, held = begin, None
-    for t, starts, x in moments:
-        if t > since:
-            now = sorted(active) if len(active) > 1 else None
-            if held and held[2] == now:
-                held = (held[0], t, now)
-            else:
-                if held:
-                    yield held
-                held = (since, t, now) if now else None
-            since = t
-        active[x] = active.get(x, 0) + (1 if starts else -1)
-        if not active[x]:
-            del active[x]
-    if held:
-        yield held
-
-
-def concurrent(intervals: DataFrame, by: list[str], start: str, end: str, item: str) -> DataFrame:
-    """Stretches during which two items or more are active: (by, from, to, items, n), neighbours with equal items as one.
-
-    A sweep over starts and ends that carries the items that are active; at one
-    time ends come before starts.  A key may have a third of all intervals, so
-    each of its days is swept apart, by the intervals that touch it, and what
-    goes on over midnight is joined after that.  Intervals without an item, a
-    start or an end, or that end when they start, are active in no stretch.
+def _changes(s: np.ndarray, e: np.ndarray, item: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, array]]:
+    """(t, items active from t on) for each t within [begin, end) at which they change; the items are sorted, in one array that goes on changing."""
+    held = np.bincount(item[s < begin], minlength=int(item.max()) + 1 if len(item) else 0).tolist()
+    active = array("i", [x for x, n in enumerate(held) if n])
+    starts, ends = (s >= begin) & (s < end), (e >= begin) & (e < end)
+    t, x = np.concatenate([s[starts], e[ends]]), np.concatenate([item[starts], item[ends]])
+    step = np.repeat([1, -1], [starts.sum(), ends.sum()])
+    order = np.argsort(t, kind="stable")  # at one time starts come first, so an item that ends and starts again does not change
+    last, changed = None, False
+    for k in range(0, len(order), 1 << 16):
+        part = order[k : k + (1 << 16)]
+        for now, what, by in zip(t[part].tolist(), x[part].tolist(), step[part].tolist(), strict=True):
+            if now != last:
+                if changed:
+                    yield last, active
+                last, changed = now, False
+            held[what] += by
+            if by > 0 and held[what] == 1:
+                insort(active, what)
+                changed = True
+            elif by < 0 and not held[what]:
+                del active[bisect_left(active, what)]
+                changed = True
+    if changed:
+        yield last, active
+
+
+def concurrent(intervals: DataFrame, by: list[str], start: str, end: str, item: str, batch_items: int = 1 << 19) -> DataFrame:
+    """Stretches during which two items or more are active: (by, items, from, to, n), neighbours with equal items as one.
+
+    A sweep over starts and ends that carries the items that are active.  A key
+    may have a third of all intervals, so each of its days is swept apart, by
+    the intervals that touch it, for the stretches that begin in it.  What goes
+    on over midnight ends with the first change of a later day, which a sweep
+    before this one finds; so a list of items is made once, is not shuffled, and
+    a task holds those of batch_items items and not those of its days.  Intervals
+    without an item, a start or an end, or that end when they start, are active
+    in no stretch.
     """
     day = 86_400_000_000
     kind, when = intervals.schema[item].dataType.simpleString(), intervals.schema[start].dataType
     spans = intervals.select(*by, micros(F.col(start)).alias("__s"), micros(F.col(end)).alias("__e"), F.col(item).alias("__item")).filter("__s < __e AND __item IS NOT NULL")
-    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / F.lit(day)), F.floor((F.col("__e") - 1) / F.lit(day)))))
-
-    def sweep(table: pa.Table) -> pa.Table:
-        number = table.column("__b")[0].as_py()
-        found = list(_sweep(list(zip(*(table.column(c).to_pylist() for c in ("__s", "__e", "__item")), strict=True)), number * day, (number + 1) * day))
-        own = table.select([*by, "__b"]).slice(0, 1).take(pa.array([0] * len(found), pa.int64()))
-        for i, (name, t) in enumerate((("__from", pa.int64()), ("__to", pa.int64()), ("items", pa.list_(table.schema.field("__item").type)))):
-            own = own.append_column(name, pa.array([x[i] for x in found], t))
-        return own
-
-    kinds = ", ".join(f"`{c}` {intervals.schema[c].dataType.simpleString()}" for c in by)
-    named = spans.groupBy(*by, "__b").applyInArrow(sweep, f"{kinds}, __b long, __from long, __to long, items array<{kind}>")
+    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / F.lit(day)), F.floor(F.col("__e") / F.lit(day)))))  # what ends at midnight is seen to end by the next day
+
+    def sweep(table: pa.Table) -> tuple[pa.Array, Iterator[tuple[int, array]]]:
+        """The items in order, and the changes of the day by their numbers."""
+        coded = table.column("__item").combine_chunks().dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        order = np.array(sorted(range(len(found)), key=found.__getitem__), np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        begin = table.column("__b")[0].as_py() * day
+        changes = _changes(table.column("__s").to_numpy(), table.column("__e").to_numpy(), rank[coded.indices.to_numpy()], begin, begin + day)
+        return coded.dictionary.take(pa.array(order)), changes
+
+    def first(table: pa.Table) -> pa.Table:
+        t = next((t for t, _ in sweep(table)[1]), None)
+        return table.select([*by, "__b"]).slice(0, 1).append_column("__first", pa.array([t], pa.int64()))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        mark = pc.is_null(table.column("__s"))
+        after = table.filter(mark).column("__e")[0].as_py()
+        table = table.filter(pc.invert(mark))
+        own = table.select(by).slice(0, 1)
+        items, changes = sweep(table)
+        froms, tos, offsets, codes = [], [], [0], array("i")
+
+        def batch() -> pa.RecordBatch:
+            n = len(tos)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items.take(pa.array(np.frombuffer(codes, np.int32))))
+            keys = [c.combine_chunks().take(pa.array(np.zeros(n, np.int64))) for c in own.columns]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(froms, pa.int64()), pa.array(tos, pa.int64()), lists], [*by, "__from", "__to", "items"])
+
+        for t, active in changes:
+            if len(froms) > len(tos):
+                tos.append(t)
+                if len(codes) >= batch_items:
+                    yield batch()
+                    froms, tos, offsets, codes = [], [], [0], array("i")
+            if len(active) > 1:
+                froms.append(t)
+                codes.extend(active)
+                offsets.append(len(codes))
+        if len(froms) > len(tos):
+            tos.append(after)
+        yield batch()
+
+    kinds = "".join(f"`{c}` {intervals.schema[c].dataType.simpleString()}, " for c in by)
+    tasks = max(intervals.sparkSession.sparkContext.defaultParallelism, int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    firsts = spans.groupBy(*by, "__b").applyInArrow(first, f"{kinds}__b long, __first long")
+    later = Window.partitionBy(*by).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)  # a row for each day
+    marks = firsts.select(*by, F.lit(None).cast("long").alias("__s"), F.min("__first").over(later).alias("__e"), F.lit(None).cast(intervals.schema[item].dataType).alias("__item"), "__b")
+    dealt = spans.unionByName(marks).repartition(tasks, *by, "__b")  # dealt by number, as the lists are far larger than the spans
+    named = dealt.groupBy(*by, "__b").applyInArrow(stretches, f"{kinds}__from long, __to long, items array<{kind}>")
     at = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).cast(when)
-    named = named.select(*by, "__b", at("__from").alias("from"), at("__to").alias("to"), "items")
-    named = carried(named, by, "__b", {"__x": F.max_by(F.struct("to", "items"), "from")}, {"__last": F.last("__x")})
-    within = Window.partitionBy(*by, "__b").orderBy("from")
-    before = F.coalesce(F.lag(F.struct("to", "items")).over(within), F.col("__last"))
-    named = named.withColumn("__prev", before)
-    goes_on = F.coalesce((F.col("__prev.to") == F.col("from")) & (F.col("__prev.items") == F.col("items")), F.lit(False))
-    named = named.withColumn("__new", F.when(~goes_on, F.col("from")))
-    named = carried(named, by, "__b", {"__y": F.max("__new")}, {"__run0": F.max("__y")})
-    run = F.coalesce(F.max("__new").over(within.rowsBetween(Window.unboundedPreceding, 0)), "__run0")
-    return named.withColumn("__run", run).groupBy(*by, "__run", "items").agg(F.min("from").alias("from"), F.max("to").alias("to")).withColumn("n", F.size("items")).drop("__run")
+    return named.select(*by, "items", at("__from").alias("from"), at("__to").alias("to"), F.size("items").alias("n"))
 
 
 def segments(points: DataFrame, by: list[str], time: str, lon: str, jump: float = 180.0) -> DataFrame:

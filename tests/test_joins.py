@@ -139,3 +139,16 @@ def test_sweeps_over_many_days_equal_brute_force(spark):
                 else:
                     want.append((sensor, f, u, items))
     assert sorted(((r.sensor, r["from"], r.to, r["items"]) for r in got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
+
+
+def test_a_list_of_active_items_is_made_once(spark):
+    """The lists of a day go out bit by bit, and nothing after the sweep shuffles, sorts or holds them."""
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [("a", f"{i % 40:02d}", at(i), at(i + 30)) for i in range(100)] + [("b", "x", at(1), at(24)), ("b", "y", at(2), at(24)), ("b", "x", at(24), at(72)), ("b", "y", at(20), at(72)), ("b", "z", at(24), at(48))]
+    frame = spark.createDataFrame(rows, "sensor string, norad_id string, t_aos timestamp_ntz, t_los timestamp_ntz")
+    found = [windows.concurrent(frame, ["sensor"], "t_aos", "t_los", "norad_id", **more) for more in ({}, {"batch_items": 1})]
+    one, other = (sorted(map(tuple, f.select("sensor", "from", "to", "items", "n").collect())) for f in found)
+    assert one == other
+    assert [r[1:] for r in one if r[0] == "b"] == [(at(2), at(24), ["x", "y"], 2), (at(24), at(48), ["x", "y", "z"], 3), (at(48), at(72), ["x", "y"], 2)]
+    above = found[0]._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert above.split()[0].endswith("Project") and not any(x in above for x in ("Aggregate", "Window", "Join", "Sort", "Repartition"))
