@@ -102,6 +102,53 @@ def test_tolerance_at_exactly_the_bound(spark):
     assert [r.l for r in joins.within_tolerance(left, right, ["k"], "t", "u", 1.0).collect()] == [1]
 
 
+ENDS = st.one_of(st.none(), st.integers(-20, 40).map(float), st.sampled_from([float("inf"), float("-inf"), float("nan")]))
+
+
+@FEW
+@given(spans=st.lists(st.tuples(st.integers(0, 15), ENDS, ENDS), max_size=25), width=st.sampled_from([1.0, 9.0, 1000.0]), block=st.sampled_from([1, 3, 2048]))
+def test_overlapping_pairs(spark, spans, width, block):
+    """Any two of a table: ends in either order, nulls, infinities, repeated rows and keys."""
+    rows = spark.createDataFrame(spans, "k int, lo double, hi double")
+    got = sorted(map(tuple, joins.overlapping_pairs(rows, ("lo", "hi"), "k", width, block).collect()))
+    place = lambda x: (x != x, x)  # noqa: E731  (NaN is the greatest)
+    up_to = lambda x, y: y != y or (x == x and x <= y)
+    known = sorted((s for s in spans if None not in s), key=lambda s: (s[0], place(s[1]), place(s[2])))
+    assert got == sorted((a[0], b[0]) for i, a in enumerate(known) for b in known[i + 1 :] if a[0] != b[0] and up_to(a[1], b[2]) and up_to(b[1], a[2]))
+
+
+def test_band_pairs_agree_with_their_sql(spark, tmp_path):
+    """Sizes below zero, which end a band before it begins, and sizes that are null."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, 900.0 + i * 7 % 60 / 10.0, None if i % 11 == 0 else i * 13 % 60 - 20) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = sorted(con.execute(entry.oracle_sql()["band_pairs"]).fetchall())
+    assert sorted(map(tuple, entry.queries()["band_pairs"](spark, str(tmp_path)).collect())) == want
+
+
+def test_pairs_are_written_out_by_runs(spark):
+    """Spans that do not meet are not compared: bands of one bucket, each of which meets its neighbour only."""
+    rows = spark.range(3000).selectExpr("id AS k", "CAST(id AS double) AS lo", "CAST(id + 1 AS double) AS hi")
+    found = joins.overlapping_pairs(rows, ("lo", "hi"), "k", 1e6, 64)
+    assert found.count() == 2999 and found.filter("two <> one + 1").count() == 0
+    found.collect()
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() in ("SortMergeJoin", "Generate", "BroadcastHashJoin", "ShuffledHashJoin"):
+            n = node.metrics().get("numOutputRows")
+            made.append(n.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        todo += [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        todo += [node.plan()] if node.nodeName().endswith("QueryStage") else []
+    assert 2999 <= max(made) <= 4 * 3000
+
+
 @FEW
 @given(spans=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 300_000), st.integers(1, 120_000)), max_size=25))
 def test_stretches_are_parted_where_the_sensor_is_idle(spark, spans):
