@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -104,30 +105,54 @@ def write_table(uri: str, name: str, key: np.ndarray, counts: list[np.ndarray],
     put(uri, name, b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in (head, *parts)))
 
 
-@lru_cache(maxsize=256)
-def _mapped(uri: str, name: str) -> mmap.mmap | bytes | None:
-    """A shared file, mapped; in memory where the shared folder is no file system here; none if there is no such file."""
+#: Files held at once: in memory, and mapped.  A block of texts asks all files of a table one after the other, so a bound below their number would map each anew for each block.
+#: A file that is mapped takes only addresses, and from Python 3.13 on no descriptor.
+FETCHED = 256
+MAPPED, UNTRACKED = (16384, {"trackfd": False}) if sys.version_info >= (3, 13) else (FETCHED, {})
+
+
+@lru_cache(maxsize=64)
+def _local(uri: str) -> str | None:
+    """The path of a folder that is one of a file system here."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return path if isinstance(fs, pafs.LocalFileSystem) else None
+
+
+@lru_cache(maxsize=MAPPED)
+def _opened(path: str) -> mmap.mmap | None:
+    if not os.path.exists(path):
+        return None
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
+
+
+@lru_cache(maxsize=FETCHED)
+def _fetched(uri: str, name: str) -> bytes | None:
     fs, path = pafs.FileSystem.from_uri(uri)
     path = f"{path}/{name}"
-    if isinstance(fs, pafs.LocalFileSystem):
-        if not os.path.exists(path):
-            return None
-        with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None
     with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
+def _mapped(uri: str, name: str) -> mmap.mmap | bytes | None:
+    """A shared file, mapped; in memory where the shared folder is no file system here; none if there is no such file."""
+    folder = _local(uri)
+    return _fetched(uri, name) if folder is None else _opened(f"{folder}/{name}")
+
+
 def forget() -> None:
     """Unmap all files: one that is mapped keeps its space after it is removed."""
-    _mapped.cache_clear()
-    _table.cache_clear()
+    for held in (_opened, _fetched, _mapped_table, _fetched_table):
+        held.cache_clear()
 
 
-@lru_cache(maxsize=256)
 def _table(uri: str, name: str) -> tuple | None:
+    return _fetched_table(uri, name) if _local(uri) is None else _mapped_table(uri, name)
+
+
+def _read_table(uri: str, name: str) -> tuple | None:
     view = _mapped(uri, name)
     if view is None:
         return None
@@ -140,6 +165,9 @@ def _table(uri: str, name: str) -> tuple | None:
     return bits, width, *out
 
 
+_mapped_table, _fetched_table = (lru_cache(maxsize=n)(_read_table) for n in (MAPPED, FETCHED))
+
+
 def lookup(uri: str, table: str, shard: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(found, counts, wide) of keys in the tables `table`_0, `table`_1 ... of their shards; counts has a row for each key, 0 where it is not there."""
     found, counts, wide = np.zeros(len(key), bool), np.zeros((len(key), width), np.uint64), np.zeros(len(key), np.uint64)

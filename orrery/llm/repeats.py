@@ -313,6 +313,15 @@ class Leaves:
         return cls(joined[:depth], *joined[depth:])
 
 
+def _by_blob(blob: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each blob with its places in ascending order; one sort, as a group has a blob of nearly every block."""
+    order = np.lexsort((place, blob))
+    blob, place = blob[order], place[order]
+    head = np.flatnonzero(np.append(True, blob[1:] != blob[:-1])) if len(blob) else np.zeros(0, np.int64)
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(blob)], strict=bool(len(head))):
+        yield int(blob[a]), place[a:b]
+
+
 def _decided(rows: DataFrame, found: Survey, split: Prefixes, min_words: int, depth: int, block_bytes: int) -> DataFrame:
     """(block, places): words of a block from which a window starts that a smaller document has."""
 
@@ -338,9 +347,7 @@ def _decided(rows: DataFrame, found: Survey, split: Prefixes, min_words: int, de
         smallest = np.repeat(np.minimum.reduceat(ids, begin), np.diff(np.append(begin, len(ids))))
         again = np.zeros(len(ids), bool)
         again[order] = ids > smallest
-        out = []
-        for i in np.unique(leaves.blob[again]).tolist():
-            out.append((names[i], pack(steps(np.sort(leaves.place[again & (leaves.blob == i)])))))
+        out = [(names[i], pack(steps(places))) for i, places in _by_blob(leaves.blob[again], leaves.place[again])]
         return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "places": pa.array([x[1] for x in out], pa.binary())})
 
     sent = rows.select("id", "body").mapInArrow(leave, "grp long, block string, places binary")

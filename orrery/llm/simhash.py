@@ -20,12 +20,13 @@ component (which is null if it has no other); other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +38,8 @@ from .words import UNSPACED, Words, blocks, find_words, run_hashes, text_bytes
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Of near copies by similarity.
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, SIMILAR_TILE = 5, 0.8, 16, 16384
-#: Fingerprints in a tile; bytes of text taken at once; pairs compared at once.
-TILE, BLOCK_BYTES, AT_ONCE = 8192, 2 << 20, 1 << 20
+#: Fingerprints in a tile; bytes of text taken at once; pairs compared at once; pairs of near copies compared at once (what a core's cache holds).
+TILE, BLOCK_BYTES, AT_ONCE, CACHED = 8192, 2 << 20, 1 << 20, 1 << 17
 #: Classes of shingles that are counted; of compared shingles, shards at least and about as many in one.
 CLASS_BITS, LEAST_SHARDS, SHARD_SHINGLES = 18, 48, 1_000_000
 
@@ -141,27 +142,36 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return out[out[:, 0] != out[:, 1]]
 
 
-def _tile_pairs(nodes: DataFrame, radius: int, tile: int, width: int) -> DataFrame:
+def _size_class(n: Column, least: float) -> Column:
+    """Classes of sizes: sizes of which the lesser is at least `least` of the greater are in the same or in neighbouring ones; 0 is by itself."""
+    step = max(-math.log(least), 1e-6) * (1 + 1e-6)  # a little wide, so that rounding parts no two sizes
+    return F.when(n > 0, F.floor(F.ln(n) / F.lit(step))).otherwise(F.lit(-2)).cast("long")
+
+
+def _tile_pairs(nodes: DataFrame, radius: int, tile: int, width: int, least: float | None = None) -> DataFrame:
     """(left, right): arrays of the rows of tiles that may hold fingerprints within the radius, each pair of tiles once.
 
     A tile's cell is the pair of bit counts of its halves, in steps of width.
+    least: and the class of the size n, as rows whose sizes differ by more
+    than this share are no candidates.
     """
     ones = lambda x: F.floor(F.bit_count(x) / F.lit(width)).cast("int")
-    cells = nodes.select(F.struct(*nodes.columns).alias("row"), ones(F.shiftrightunsigned("fingerprint", 32)).alias("a"), ones(F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"))
-    counts = cells.groupBy("a", "b").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))  # 33 * 33 rows at most
+    sized = least is not None and least > 0
+    cells = nodes.select(F.struct(*nodes.columns).alias("row"), ones(F.shiftrightunsigned("fingerprint", 32)).alias("a"), ones(F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), (_size_class(F.col("n"), least) if sized else F.lit(0)).alias("c"))
+    counts = cells.groupBy("a", "b", "c").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))  # 33 * 33 rows at most for each class of sizes
     tiles = (
-        cells.join(F.broadcast(counts), ["a", "b"])
-        .groupBy("a", "b", F.pmod(F.xxhash64("row.fingerprint"), F.col("parts")).alias("part"))
+        cells.join(F.broadcast(counts), ["a", "b", "c"])
+        .groupBy("a", "b", "c", F.pmod(F.xxhash64("row.fingerprint"), F.col("parts")).alias("part"))
         .agg(F.collect_list("row").alias("held"))  # about `tile` rows
     )
     tiles = cut(tiles)
-    least = lambda c: 0 if not c else (abs(c) - 1) * width + 1  # noqa: E731  between counts of cells c apart
+    apart = lambda c: 0 if not c else (abs(c) - 1) * width + 1  # noqa: E731  between counts of cells c apart, at least
     reach = radius // width + 2
-    steps = [(x, y) for x in range(reach + 1) for y in range(-reach, reach + 1) if least(x) + least(y) <= radius and (x, y) >= (0, 0)]
-    step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("step")
-    left = tiles.select("a", "b", F.col("part").alias("part_l"), F.col("held").alias("left"), step).select((F.col("a") + F.col("step.x")).alias("a"), (F.col("b") + F.col("step.y")).alias("b"), "part_l", "left", ((F.col("step.x") == 0) & (F.col("step.y") == 0)).alias("same"))
-    right = tiles.select("a", "b", F.col("part").alias("part_r"), F.col("held").alias("right"))
-    pairs = left.join(right, ["a", "b"]).filter("NOT same OR part_l <= part_r").select("left", "right")
+    steps = [(x, y, z) for x in range(reach + 1) for y in range(-reach, reach + 1) for z in ((-1, 0, 1) if sized else (0,)) if apart(x) + apart(y) <= radius and (x, y, z) >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x, y, z in steps])).alias("step")
+    left = tiles.select("a", "b", "c", F.col("part").alias("part_l"), F.col("held").alias("left"), step).select((F.col("a") + F.col("step.x")).alias("a"), (F.col("b") + F.col("step.y")).alias("b"), (F.col("c") + F.col("step.z")).alias("c"), "part_l", "left", ((F.col("step.x") == 0) & (F.col("step.y") == 0) & (F.col("step.z") == 0)).alias("same"))
+    right = tiles.select("a", "b", "c", F.col("part").alias("part_r"), F.col("held").alias("right"))
+    pairs = left.join(right, ["a", "b", "c"]).filter("NOT same OR part_l <= part_r").select("left", "right")
     # A pair of full tiles is work for a second; dealing pairs evenly keeps all cores busy.
     return pairs.repartition(_tasks(nodes), F.xxhash64("left", "right"))
 
@@ -237,9 +247,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified_forest(left: np.ndarray, right: np.ndarray, radius: int, alike) -> list[tuple[int, int]]:
+def verified_forest(left: np.ndarray, right: np.ndarray, radius: int, alike, sizes: tuple[np.ndarray, np.ndarray] | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """Links that connect all that links of candidates connect; alike(i, j) decides on one of left and one of right.
 
+    sizes: of left and right; where the lesser is below `least` of the greater
+    alike says no, so these are not compared.
+
     Some rows of candidates at a time; in each round every member takes its
     nearest candidate it is not connected with yet, and those that fail are no
     candidates any more.  So each pair is decided at most once, and a large
@@ -247,12 +260,25 @@ def verified_forest(left: np.ndarray, right: np.ndarray, radius: int, alike) ->
     """
     n, found = len(left), []
     parent = np.arange(n + len(right))
-    height = max(1, AT_ONCE // max(1, len(right)))
-    for at in range(0, n, height):
-        d = np.bitwise_count(left[at : at + height, None] ^ right[None, :]).reshape(-1)
+    by_l, by_r = (np.argsort(x, kind="stable") for x in sizes or (np.zeros(n), np.zeros(len(right))))
+    begin, end = np.zeros(n, np.int64), np.full(n, len(right))
+    if sizes is not None and least > 0:  # the columns of a row are a run in the order of sizes, and runs do not go back
+        own, across = sizes[0][by_l], sizes[1][by_r]
+        begin, end = np.searchsorted(across, own * least - 1e-6), np.searchsorted(across, own / least + 1e-6, side="right")
+    left, right = left[by_l], right[by_r]
+    to = 0
+    while (at := to) < n:
+        a = int(begin[at])
+        to = min(n, at + max(1, CACHED // max(1, int(end[at]) - a)))
+        b = int(end[to - 1])
+        if a >= b:
+            continue
+        d = np.bitwise_count(left[at:to, None] ^ right[None, a:b]).reshape(-1)
         hit = np.flatnonzero(d <= radius)
+        if not len(hit):
+            continue
         hit = hit[np.argsort(d[hit], kind="stable")]
-        i, j = hit // len(right) + at, hit % len(right)
+        i, j = by_l[hit // (b - a) + at], by_r[hit % (b - a) + a]
         while len(i):
             apart = parent[i] != parent[j + n]
             i, j = i[apart], j[apart]
@@ -387,11 +413,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         prints_ = [np.asarray(s.field("fingerprint")).view(np.uint64) for s in sides]
         names = [np.asarray(s.field("node")) for s in sides]
         where = [list(zip(*(s.field(c).to_pylist() for c in ("file", "at", "n")), strict=True)) for s in sides]
-        found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_at(*where[0][i]), set_at(*where[1][j])) >= least)
+        found = verified_forest(*prints_, radius, lambda i, j: names[0][i] == names[1][j] or similarity(set_at(*where[0][i]), set_at(*where[1][j])) >= least, [np.asarray(s.field("n")) for s in sides], least)
         found = [(int(names[0][i]), int(names[1][j])) for i, j in found if names[0][i] != names[1][j]]
         return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
-    pairs = _tile_pairs(nodes.select("s.fingerprint", "node", "s.file", "s.at", "s.n"), radius, tile, radius)
+    pairs = _tile_pairs(nodes.select("s.fingerprint", "node", "s.file", "s.at", "s.n"), radius, tile, radius, least)
     roots = components(pairs.mapInArrow(compare, "u long, v long"))
     rooted = cut(nodes.join(roots, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"), "s.file", "s.at", "s.n"))
 

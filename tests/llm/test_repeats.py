@@ -128,6 +128,14 @@ def test_what_is_sent_does_not_grow_with_the_groups(spark, groups):
     assert rows > 5000 and size < 40 * rows + 250 * len(sent)
 
 
+def test_places_of_a_group_go_back_blob_by_blob():
+    rng = np.random.default_rng(3)
+    blob, place = rng.integers(0, 40, 500), rng.integers(0, 9000, 500).astype(np.uint32)
+    got = [(i, x.tolist()) for i, x in D._by_blob(blob, place)]
+    assert got == [(i, sorted(place[blob == i].tolist())) for i in sorted(set(blob.tolist()))]
+    assert not list(D._by_blob(blob[:0], place[:0]))
+
+
 def test_empty_table(nothing):
     assert D.maximal_repeats(nothing).count() == 0
     assert D.remove_repeats(nothing, digest=True).count() == 0 and D.remove_repeats(nothing).columns == nothing.columns

@@ -143,6 +143,24 @@ def test_rare_shingles_connect_what_all_pairs_connect():
     assert all_pairs and groups(found, nodes) == groups(all_pairs, nodes)
 
 
+def test_sizes_that_cannot_be_similar_are_not_compared(spark, monkeypatch):
+    """One fingerprint and many sizes: every pair within 4 : 5 meets once, and few others are compared."""
+    sizes = [0, 0, *range(1, 400), *[5 * 2**k for k in range(7, 12)], *[4 * 2**k for k in range(7, 12)]]
+    rows = spark.createDataFrame([(7, i, n) for i, n in enumerate(sizes)], "fingerprint long, node long, n int")
+    tiles = D._tile_pairs(rows, 16, 4096, 16, 0.8).collect()
+    met, compared, count = set(), [], np.bitwise_count
+    monkeypatch.setattr(D.np, "bitwise_count", lambda x: (compared.append(x.size), count(x))[1])
+    monkeypatch.setattr(D, "CACHED", 256)
+    for t in tiles:
+        side = [[np.array([r[c] for r in x], np.uint64 if c == "fingerprint" else np.int64) for c in ("fingerprint", "n")] for x in t]
+        alike = lambda i, j: met.add((t.left[i].node, t.right[j].node)) or False  # noqa: B023, E731
+        D.verified_forest(side[0][0], side[1][0], 16, alike, (side[0][1], side[1][1]), 0.8)
+    want = {(i, j) for i, m in enumerate(sizes) for j, n in enumerate(sizes) if i < j and min(m, n) >= 0.8 * max(m, n)}
+    assert want <= {tuple(sorted(x)) for x in met}
+    assert all(min(sizes[i], sizes[j]) >= 0.5 * max(sizes[i], sizes[j]) for i, j in met)  # rows that are compared at once share the columns of all of them
+    assert sum(compared) < len(sizes) ** 2 / 3
+
+
 def test_similarity_of_sets():
     a = np.array([1, 3, 5, 7], np.uint64)
     none = np.zeros(0, np.uint64)

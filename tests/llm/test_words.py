@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,22 @@ def test_lookup_in_shards(tmp_path, n):
     arrays.forget()
 
 
+@pytest.mark.skipif(sys.version_info < (3, 13), reason="a mapped file holds a descriptor")
+def test_files_of_large_tables_stay_mapped(tmp_path):
+    """Each block asks all shards in turn; none is mapped anew for the next block."""
+    uri, key = f"file://{tmp_path}", np.arange(1, 5, dtype=np.uint64)
+    for s in range(400):
+        arrays.write_table(uri, f"t_{s:06d}", key, [key])
+    arrays.forget()
+    shard = np.arange(400)
+    seen = []
+    for _ in range(3):
+        assert arrays.lookup(uri, "t", shard, np.full(400, 3, np.uint64), 1)[1].tolist() == [[3]] * 400
+        seen.append(arrays._opened.cache_info().misses)
+    assert seen == [400] * 3
+    arrays.forget()
+
+
 def test_row_hashes_are_run_hashes():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 2**64, 20, dtype=np.uint64) for _ in range(3)]
